@@ -19,37 +19,48 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def composition_class(
-    composition: Column,
+def composition_parts(composition: Column) -> tuple[Column, Column]:
+    """The two numbers of a ``'HW a, SW b'`` string; null where it does not parse."""
+    # Fixed value: the format of a composition string.
+    pattern = r"^\s*HW\s*(\d+)\s*,\s*SW\s*(\d+)\s*$"
+    first, second = (F.regexp_extract(composition, pattern, i).try_cast("int") for i in (1, 2))
+    return first, second
+
+
+def class_of_parts(
+    hard: Column,
+    soft: Column,
+    shown: Column,
     cut: float = 0.8,
     hard_level: str = "Decidous",
     soft_level: str = "Conifer",
     mixed_level: str = "Mixed",
     strict: bool = True,
 ) -> Column:
-    """Class of a ``'HW a, SW b'`` string by the share of either part.
+    """Class by the share of either part.
 
-    Strict mode fails on a string that does not parse and on ``a + b = 0``; otherwise both give null.
+    Strict mode fails where a part is missing or both are 0, quoting ``shown``; otherwise both give null.
     """
-    # Fixed value: the format of a composition string.
-    pattern = r"^\s*HW\s*(\d+)\s*,\s*SW\s*(\d+)\s*$"
-    hard = F.regexp_extract(composition, pattern, 1).try_cast("int")
-    soft = F.regexp_extract(composition, pattern, 2).try_cast("int")
     total = hard + soft
     known = (
         F.when(hard / total >= cut, F.lit(hard_level))
         .when(soft / total >= cut, F.lit(soft_level))
         .otherwise(F.lit(mixed_level))
     )
-    shown = F.coalesce(composition, F.lit("null"))
     if strict:
-        no_parse = F.raise_error(F.concat(F.lit("composition does not parse: "), shown))
-        no_total = F.raise_error(F.concat(F.lit("composition sums to zero: "), shown))
+        quoted = F.coalesce(shown, F.lit("null"))
+        no_parse = F.raise_error(F.concat(F.lit("composition does not parse: "), quoted))
+        no_total = F.raise_error(F.concat(F.lit("composition sums to zero: "), quoted))
     else:
         no_parse = no_total = F.lit(None)
     return F.when(total.isNull(), no_parse).when(total == 0, no_total).otherwise(known)
 
 
+def composition_class(composition: Column, strict: bool = True, **levels) -> Column:
+    """:func:`class_of_parts` of a composition string."""
+    return class_of_parts(*composition_parts(composition), composition, strict=strict, **levels)
+
+
 def overwrite_where(current: Column, condition: Column, replacement: Column) -> Column:
     return F.when(condition, replacement).otherwise(current)
 

@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldpanel.functions.scalar import composition_class, overwrite_where, ratio
+from fieldpanel.functions.scalar import class_of_parts, composition_parts, overwrite_where, ratio
 from fieldpanel.schemas import BOUNDED_INDICES, INDEX_COLS
 
 # Columns that the cleaning step removes.
@@ -52,13 +52,18 @@ def cleaning_rules() -> list[tuple[str, Column]]:
 
 
 def clean_rows(df: DataFrame, strict: bool = True) -> DataFrame:
-    """Apply the row rules, recompute ``Type`` where no replanting is recorded, drop spent columns."""
+    """Apply the row rules, recompute ``Type`` where no replanting is recorded, drop spent columns.
+
+    The composition is parsed into helper columns first, once per row and only where it is needed.
+    """
     for _, rule in cleaning_rules():
         df = df.filter(rule)
-    new_type = overwrite_where(
-        F.col("Type"), F.col("NmbrPlR").isNull(), composition_class(F.col("SpcsCmp"), strict=strict)
-    )
-    return df.withColumn("Type", new_type).drop(*DROPPED_AFTER_CLEANING)
+    unset = F.col("NmbrPlR").isNull()
+    hard, soft = (F.when(unset, part) for part in composition_parts(F.col("SpcsCmp")))
+    parsed = df.withColumns({"_hard": hard, "_soft": soft})
+    from_parts = class_of_parts(F.col("_hard"), F.col("_soft"), F.col("SpcsCmp"), strict=strict)
+    typed = parsed.withColumn("Type", overwrite_where(F.col("Type"), unset, from_parts))
+    return typed.drop("_hard", "_soft", *DROPPED_AFTER_CLEANING)
 
 
 def add_density(df: DataFrame) -> DataFrame:

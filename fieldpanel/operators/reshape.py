@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldpanel.functions.scalar import one_hot
@@ -42,12 +42,32 @@ def survey_dates(sites: DataFrame) -> DataFrame:
     return unpivot_repeated(sites, PIXEL_KEY, DATE_COLS, AGES, "Age", "SrvvR_Date")
 
 
+SURVEY_COLUMNS = [*PIXEL_KEY, "Density", "Type", "Season", "Age", "target", "SrvvR_Date"]
+
+
+def pair_rates_dates(rates: DataFrame, dates: DataFrame, low: float = 0, high: float = 100) -> DataFrame:
+    """Join separately given values and dates on (ID, PixelID, Age); values outside the range go."""
+    return keep_between(rates.join(dates, SURVEY_KEY, "inner"), "target", low, high).select(*SURVEY_COLUMNS)
+
+
 def survey_long(clean: DataFrame, low: float = 0, high: float = 100) -> DataFrame:
-    """One row per surveyed (ID, PixelID, Age): value joined to its date, values outside the range gone."""
-    sites = site_rows(clean)
-    joined = survey_rates(sites).join(survey_dates(sites), SURVEY_KEY, "inner")
-    columns = [*PIXEL_KEY, "Density", "Type", "Season", "Age", "target", "SrvvR_Date"]
-    return keep_between(joined, "target", low, high).select(*columns)
+    """One row per surveyed (ID, PixelID, Age): every valid value paired with every date of its key.
+
+    Same rows as :func:`pair_rates_dates`, in one pass over the sites: the dates of a key (no more than there
+    are days) are gathered next to its values, so both sides share one shuffle and nothing is joined.
+    """
+    pairs = F.array(
+        *[
+            F.struct(F.lit(k).alias("Age"), F.col(rate).alias("target"), F.col(date).alias("_date"))
+            for k, rate, date in zip(AGES, RATE_COLS, DATE_COLS)
+        ]
+    )
+    long = site_rows(clean).select(*PIXEL_KEY, "Density", "Type", "Season", F.inline(pairs))
+    known = long.filter(F.col("target").isNotNull() | F.col("_date").isNotNull())
+    dates = F.collect_set("_date").over(Window.partitionBy(*SURVEY_KEY))
+    valid = keep_between(known.withColumn("_dates", dates), "target", low, high)
+    paired = valid.withColumn("SrvvR_Date", F.explode("_dates"))
+    return paired.select(*SURVEY_COLUMNS).dropDuplicates()
 
 
 def observations(clean: DataFrame) -> DataFrame:
