@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldpanel.functions import scalar
+from fieldpanel.ml import evaluate, models, search, select, seqreg
+from fieldpanel.ml import importance as ml_importance
 from fieldpanel.operators import batching, clean, curves, history, importance, match, metrics, profile, reshape, split
 from fieldpanel.plans import pipeline
 from fieldpanel.plans.adapter import RAW_SQL, raw_wide, table
@@ -147,6 +149,21 @@ def features(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFr
     return clean.drop_incomplete(match.label(matched(spark, sf_dir), threshold))
 
 
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def written(name: str, make: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage output that several queries of one session share, written once to the shared folder."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _WRITTEN:
+        _WRITTEN[at] = io.materialise(make(spark, sf_dir))
+    return _WRITTEN[at]
+
+
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written("features", features, spark, sf_dir)
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions-like frame: truth from labels, score from document length, group by language."""
     joined = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(
@@ -899,6 +916,107 @@ def early_stop(spark, sf_dir):
     return importance.early_stop(losses, 3, ["run"])
 
 
+# --- models --------------------------------------------------------------------------------------------------
+
+FOREST = {"n_estimators": 10, "max_depth": 5, "class_weight": "balanced"}
+BOOSTED = {"n_estimators": 5, "max_depth": 3}
+
+
+@query("lr_oof")
+def lr_oof(spark, sf_dir):
+    return evaluate.out_of_fold(models.build_logistic_regression(), model_rows(spark, sf_dir))
+
+
+@query("rf_oof")
+def rf_oof(spark, sf_dir):
+    return evaluate.out_of_fold(models.build_random_forest(**FOREST), model_rows(spark, sf_dir))
+
+
+@query("gbt_oof")
+def gbt_oof(spark, sf_dir):
+    return evaluate.out_of_fold(models.build_gradient_boosting(**BOOSTED), model_rows(spark, sf_dir))
+
+
+@query("hold_out_metrics")
+def hold_out_metrics(spark, sf_dir):
+    train, test = split.group_split(model_rows(spark, sf_dir))
+    return evaluate.evaluation(evaluate.hold_out(models.build_random_forest(**FOREST), train, test))
+
+
+@query("model_reload")
+def model_reload(spark, sf_dir):
+    path = io.scratch_dir(spark)
+    rows = model_rows(spark, sf_dir)
+    models.fit(models.build_random_forest(**FOREST), rows).save(path)
+    return evaluate.predictions(models.FittedModel.load(path), rows)
+
+
+@query("search_log")
+def search_log(spark, sf_dir):
+    space = {"n_estimators": search.RandInt(3, 8), "max_depth": search.RandInt(1, 5), "class_weight": ["balanced", None]}
+    spec = models.build_random_forest()
+    found = search.search(spec, model_rows(spark, sf_dir), space, "random", 3, 3, return_results=True)
+    return found["results"]
+
+
+@query("grid_experiments")
+def grid_experiments(spark, sf_dir):
+    space = {"C": [0.01, 1.0], "penalty": ["l2", "l1"]}
+    spec = models.build_logistic_regression(max_iter=20)
+    rows = model_rows(spark, sf_dir)
+    configs = search.grid_configs(space)
+    records = search.cross_validate(spec, rows, configs, num_folds=3)
+    return search.experiment_table(rows, records, configs)
+
+
+@query("rfe")
+def rfe(spark, sf_dir):
+    spec = models.build_random_forest("RFE", step_RFE=4, num_feats_RFE=4, **FOREST)
+    return select.rank_features(spec, model_rows(spark, sf_dir))
+
+
+@query("rfecv")
+def rfecv(spark, sf_dir):
+    spec = models.build_logistic_regression("RFECV", step_RFE=3, num_folds_RFECV=3, max_iter=20)
+    return select.rank_features(spec, model_rows(spark, sf_dir))
+
+
+@query("perm_importance")
+def perm_importance(spark, sf_dir):
+    selector = ml_importance.ImportanceSelector(models.build_random_forest(**FOREST), "permute")
+    scores = selector.fit(model_rows(spark, sf_dir)).values
+    return importance.confidence_interval(scores, ["feature"], "importance")
+
+
+@query("tree_contributions")
+def tree_contributions(spark, sf_dir):
+    selector = ml_importance.ImportanceSelector(models.build_random_forest(**FOREST), "SHAP")
+    explained = selector.fit(model_rows(spark, sf_dir)).values
+    return explained.select(*RECORD_KEY, "Age", "base", F.posexplode("phi").alias("feature", "phi"))
+
+
+@query("selector_features")
+def selector_features(spark, sf_dir):
+    selector = ml_importance.ImportanceSelector(
+        models.build_logistic_regression(max_iter=50), "SHAP", 3, keep_features=["NDVI", "TCB"], scaler=True
+    )
+    rows = model_rows(spark, sf_dir)
+    return selector.fit(rows).transform(rows).drop("SrvvR_Date")
+
+
+def sequence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, seen = sequence_inputs(spark, sf_dir)
+    tables = history.sequence_tables(records, seen, history.normalisation_stats(seen, records))
+    return seqreg.sequence_features(*tables)
+
+
+@query("seq_regression")
+def seq_regression(spark, sf_dir):
+    train, test = split.group_split(written("sequence_rows", sequence_rows, spark, sf_dir))
+    predicted = seqreg.SequenceRegressor(True, max_iter=5).fit(train).predict(test)
+    return metrics.metrics_by_group(predicted, ["Age"], DIGITS, "raw_y_true", "raw_y_pred")
+
+
 @query("flagship", f"{MATCH_SQL} SELECT {listed(SURVEY_COLS)}, {rounded(['Density', *INDEX_COLS])}, CASE WHEN target < 70 THEN 0 ELSE 1 END AS target FROM matched")
 def flagship(spark, sf_dir):
     return pipeline.classical_features(raw_wide(spark, sf_dir), 16, 0.7)

@@ -94,3 +94,13 @@ def with_path_labels(df: DataFrame, suffix: str) -> DataFrame:
         percent_label(F.regexp_extract(path, pattern, 1)).alias("Threshold"),
         title_label(F.regexp_extract(path, pattern, 2)).alias("Model"),
     )
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    For tables that several jobs use: the work behind them is done once, and a lost executor costs a re-read.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
