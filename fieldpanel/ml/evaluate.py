@@ -9,7 +9,7 @@ from typing import Any, Callable
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import Evaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldpanel.ml.models import FittedModel, ModelSpec, fit
@@ -27,7 +27,7 @@ def in_threads(jobs: Sequence[Callable[[], Any]], parallelism: int) -> list[Any]
     """Run driver-side functions, each of which submits Spark jobs, a few at a time."""
     if parallelism <= 1:
         return [job() for job in jobs]
-    spark_jobs = [inheritable_thread_target(job) for job in jobs]
+    spark_jobs = [inheritable_thread_target(SparkSession.active())(job) for job in jobs]
     with ThreadPool(parallelism) as pool:
         return pool.map(lambda job: job(), spark_jobs)
 

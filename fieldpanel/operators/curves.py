@@ -31,8 +31,9 @@ def cumulative_counts(counts: DataFrame, by: Sequence[str] = (), ranges: int = 2
     summed across ranges has at most ``ranges`` rows per group.
     """
     by = list(by)
-    inner = sorted(set(counts.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    edges = [float("-inf"), *(inner or [0.0]), float("inf")]
+    shares = [i / ranges for i in range(1, max(2, ranges))]
+    found = counts.agg(F.percentile_approx("score", shares, 10 * len(shares) + 100)).first()[0]
+    edges = [float("-inf"), *sorted(set(found or [0.0])), float("inf")]
     cut = Bucketizer(splits=edges, inputCol="score", outputCol="_range").transform(counts)
     # Summary of each range: its totals and its highest score.
     per_range = cut.groupBy(*by, "_range").agg(
