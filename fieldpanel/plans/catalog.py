@@ -49,8 +49,9 @@ def query(name: str, sql: str | None = None, digits: int = DIGITS) -> Callable[[
 # --- SQL building blocks -------------------------------------------------------------------------------------
 
 
-def rounded(columns: list[str], prefix: str = "") -> str:
-    return ", ".join(f"round({prefix}{c}, {DIGITS}) AS {c}" for c in columns)
+def rounded(columns: list[str], prefix: str = "", digits: int = DIGITS) -> str:
+    # Adding 0 turns a negative zero into zero.
+    return ", ".join(f"round({prefix}{c}, {digits}) + 0e0 AS {c}" for c in columns)
 
 
 def listed(columns: list[str], prefix: str = "") -> str:
@@ -283,15 +284,15 @@ def lookup(spark, sf_dir):
 
 
 def _match_select(days: int) -> str:
-    return f"{match_sql(days)} SELECT {listed(SURVEY_COLS)}, {rounded(['Density', 'target', *INDEX_COLS])} FROM matched"
+    return f"{match_sql(days)} SELECT {listed(SURVEY_COLS)}, {rounded(['Density', 'target', *INDEX_COLS], digits=MEAN_DIGITS)} FROM matched"
 
 
-@query("window_match_15", _match_select(15))
+@query("window_match_15", _match_select(15), MEAN_DIGITS)
 def window_match_15(spark, sf_dir):
     return matched(spark, sf_dir, 15)
 
 
-@query("window_match_16", _match_select(16))
+@query("window_match_16", _match_select(16), MEAN_DIGITS)
 def window_match_16(spark, sf_dir):
     return matched(spark, sf_dir, 16)
 
@@ -302,8 +303,9 @@ def window_match_16(spark, sf_dir):
 means AS (SELECT s.ID, s.PixelID, s.Age, s.SrvvR_Date, {", ".join(f"avg(o.{c}) AS {c}" for c in INDEX_COLS)}
   FROM survey s JOIN obs o ON s.ID = o.ID AND s.PixelID = o.PixelID
    AND o.ImgDate BETWEEN s.SrvvR_Date - 16 AND s.SrvvR_Date + 16 GROUP BY ALL)
-SELECT {listed(SURVEY_COLS, "s.")}, {rounded(['Density', 'target'], 's.')}, {rounded(INDEX_COLS, 'm.')}
+SELECT {listed(SURVEY_COLS, "s.")}, {rounded(['Density', 'target'], 's.', MEAN_DIGITS)}, {rounded(INDEX_COLS, 'm.', MEAN_DIGITS)}
 FROM survey s LEFT JOIN means m USING (ID, PixelID, Age, SrvvR_Date)""",
+    MEAN_DIGITS,
 )
 def window_match_by_date(spark, sf_dir):
     data = tidy(spark, sf_dir)
@@ -401,8 +403,8 @@ def species_share(spark, sf_dir):
     return profile.category_share(raw_wide(spark, sf_dir), ["SpcsCmp", "prevUse"])
 
 
-def _means(columns: list[str]) -> str:
-    return ", ".join(f"round(avg({c}), {MEAN_DIGITS}) AS {c}" for c in columns)
+def _means(columns: list[str], digits: int = MEAN_DIGITS) -> str:
+    return ", ".join(f"round(avg({c}), {digits}) + 0e0 AS {c}" for c in columns)
 
 
 @query(
@@ -446,7 +448,7 @@ def corr_by_age(spark, sf_dir):
 NUMERIC = ["Season", *RATE_COLS, "DOY", *INDEX_COLS, "Density"]
 
 
-@query("group_numeric_mean", f"{CLEAN_SQL} SELECT ID, {_means(NUMERIC)} FROM clean GROUP BY ID", MEAN_DIGITS)
+@query("group_numeric_mean", f"{CLEAN_SQL} SELECT ID, {_means(NUMERIC, 11)} FROM clean GROUP BY ID", 11)
 def group_numeric_mean(spark, sf_dir):
     return profile.group_numeric_mean(tidy(spark, sf_dir), ["ID"])
 
@@ -776,13 +778,13 @@ def sequence_lookup(spark, sf_dir):
     "sequence_summary",
     f"""{TABLES_SQL} SELECT {listed(RECORD_KEY)}, count(*) AS seq_len, """
     + ", ".join(
-        f"round(arg_max({c}, pos), {MEAN_DIGITS}) AS {c}_last, round(avg({c}), {MEAN_DIGITS}) AS {c}_mean, round(min({c}), {MEAN_DIGITS}) AS {c}_min, "
-        f"round(max({c}), {MEAN_DIGITS}) AS {c}_max, round(covar_pop({c}, 1 - exp(log_dt)) / nullif(var_pop(exp(log_dt) - 1), 0), {MEAN_DIGITS}) AS {c}_slope, "
-        f"round(sum({c} * exp(-log_dt)) / sum(exp(-log_dt)), {MEAN_DIGITS}) AS {c}_recent"
+        f"round(arg_max({c}, pos), 10) + 0e0 AS {c}_last, round(avg({c}), 10) + 0e0 AS {c}_mean, round(min({c}), 10) + 0e0 AS {c}_min, "
+        f"round(max({c}), 10) + 0e0 AS {c}_max, round(covar_pop({c}, 1 - exp(log_dt)) / nullif(var_pop(exp(log_dt) - 1), 0), 10) + 0e0 AS {c}_slope, "
+        f"round(sum({c} * exp(-log_dt)) / sum(exp(-log_dt)), 10) + 0e0 AS {c}_recent"
         for c in ["NDVI", "TCG"]
     )
     + " FROM steps GROUP BY ALL",
-    MEAN_DIGITS,
+    10,
 )
 def sequence_summary(spark, sf_dir):
     return history.summarise_steps(history_long(spark, sf_dir), ["NDVI", "TCG"])
@@ -827,7 +829,7 @@ sized AS (SELECT b.*, coalesce(seq_len, 1) AS sequence_length FROM batched b LEF
 grid AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY sequence_length DESC, position) AS batch_row,
   max(sequence_length) OVER (PARTITION BY batch) AS longest FROM sized),
 cells AS (SELECT *, unnest(range(1, longest + 1)) AS pos FROM grid)
-SELECT {listed(RECORD_KEY, "c.")}, batch, CAST(batch_row AS int) AS batch_row, sequence_length, c.pos, {", ".join(f"round(coalesce(s.{c}, 0), 6) AS {c}" for c in STEP_COLS)}
+SELECT {listed(RECORD_KEY, "c.")}, batch, CAST(batch_row AS int) AS batch_row, sequence_length, c.pos, {", ".join(f"round(coalesce(s.{c}, 0), 6) + 0e0 AS {c}" for c in STEP_COLS)}
 FROM cells c LEFT JOIN steps s ON c.ID = s.ID AND c.PixelID = s.PixelID AND c.SrvvR_Date = s.SrvvR_Date AND c.pos = s.pos""",
 )
 def padded(spark, sf_dir):
@@ -1017,6 +1019,6 @@ def seq_regression(spark, sf_dir):
     return metrics.metrics_by_group(predicted, ["Age"], DIGITS, "raw_y_true", "raw_y_pred")
 
 
-@query("flagship", f"{MATCH_SQL} SELECT {listed(SURVEY_COLS)}, {rounded(['Density', *INDEX_COLS])}, CASE WHEN target < 70 THEN 0 ELSE 1 END AS target FROM matched")
+@query("flagship", f"{MATCH_SQL} SELECT {listed(SURVEY_COLS)}, {rounded(['Density', *INDEX_COLS], digits=MEAN_DIGITS)}, CASE WHEN target < 70 THEN 0 ELSE 1 END AS target FROM matched", MEAN_DIGITS)
 def flagship(spark, sf_dir):
     return pipeline.classical_features(raw_wide(spark, sf_dir), 16, 0.7)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import time
 from pathlib import Path
 
@@ -16,15 +15,10 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def normal(value):
-    if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6) + 0.0
-    return value
-
-
 def rows_of(columns, rows):
+    """Rows as text, so that types, signs of zero and every digit count."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted([tuple(normal(r[i]) for i in order) for r in rows], key=repr)
+    return sorted(repr(tuple(r[i] for i in order)) for r in rows)
 
 
 def compare(spark, con, function, sql, sf_dir):
