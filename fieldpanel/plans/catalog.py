@@ -778,16 +778,16 @@ def sequence_lookup(spark, sf_dir):
     "sequence_summary",
     f"""{TABLES_SQL} SELECT {listed(RECORD_KEY)}, count(*) AS seq_len, """
     + ", ".join(
-        f"round(arg_max({c}, pos), 10) + 0e0 AS {c}_last, round(avg({c}), 10) + 0e0 AS {c}_mean, round(min({c}), 10) + 0e0 AS {c}_min, "
-        f"round(max({c}), 10) + 0e0 AS {c}_max, round(covar_pop({c}, 1 - exp(log_dt)) / nullif(var_pop(exp(log_dt) - 1), 0), 10) + 0e0 AS {c}_slope, "
-        f"round(sum({c} * exp(-log_dt)) / sum(exp(-log_dt)), 10) + 0e0 AS {c}_recent"
-        for c in ["NDVI", "TCG"]
+        f"round(arg_max({c}, pos), {MEAN_DIGITS}) + 0e0 AS {c}_last, round(avg({c}), {MEAN_DIGITS}) + 0e0 AS {c}_mean, round(min({c}), {MEAN_DIGITS}) + 0e0 AS {c}_min, "
+        f"round(max({c}), {MEAN_DIGITS}) + 0e0 AS {c}_max, round(covar_pop({c}, 1 - exp(log_dt)) / nullif(var_pop(exp(log_dt) - 1), 0), {MEAN_DIGITS}) + 0e0 AS {c}_slope, "
+        f"round(sum({c} * exp(-log_dt)) / sum(exp(-log_dt)), {MEAN_DIGITS}) + 0e0 AS {c}_recent"
+        for c in ["NDVI", "TCB"]
     )
     + " FROM steps GROUP BY ALL",
-    10,
+    MEAN_DIGITS,
 )
 def sequence_summary(spark, sf_dir):
-    return history.summarise_steps(history_long(spark, sf_dir), ["NDVI", "TCG"])
+    return history.summarise_steps(history_long(spark, sf_dir), ["NDVI", "TCB"])
 
 
 @query(
