@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 COUNTS = ["tp", "fn", "fp", "tn"]
 
 
-def confusion(df: DataFrame, by: Sequence[str] = (), truth: str = "y_true", predicted: str = "y_pred") -> DataFrame:
-    """Counts ``tp, fn, fp, tn`` per group."""
+def confusion(
+    df: DataFrame,
+    by: Sequence[str] = (),
+    truth: str = "y_true",
+    predicted: str = "y_pred",
+    more: Sequence[Column] = (),
+) -> DataFrame:
+    """Counts ``tp, fn, fp, tn`` per group, with ``more`` aggregates from the same pass."""
 
     def cell(actual: int, answer: int) -> Column:
         return F.count(F.when((F.col(truth) == actual) & (F.col(predicted) == answer), 1))
 
     cells = dict(zip(COUNTS, [cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1)]))
-    return df.groupBy(*by).agg(*[c.alias(name) for name, c in cells.items()])
+    return df.groupBy(*by).agg(*[c.alias(name) for name, c in cells.items()], *more)
 
 
 def confusion_matrix(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -91,8 +97,7 @@ def metrics_by_group(
     raw_prediction: str | None = None,
 ) -> DataFrame:
     """Class metrics, record count and (given raw values) RMSE for every group present."""
-    metrics = class_metrics(confusion(df, by), by, digits)
     if raw_truth is None or raw_prediction is None:
-        return metrics
-    errors = df.groupBy(*by).agg(rmse(F.col(raw_truth), F.col(raw_prediction)).alias("rmse"))
-    return metrics.join(errors, list(by), "inner") if by else metrics.crossJoin(errors)
+        return class_metrics(confusion(df, by), by, digits)
+    error = rmse(F.col(raw_truth), F.col(raw_prediction)).alias("rmse")
+    return class_metrics(confusion(df, by, more=[error]), [*by, "rmse"], digits)

@@ -177,10 +177,12 @@ def test_padding(spark):
     assert shape == {(1, 2, 3): [3.0, 4.0, 5.0], (2, 1, 2): [1.0, 2.0, 0.0], (3, 3, 1): [0.0, 0.0, 0.0]}
 
 
-def test_fetch_gives_one_zero_step(spark):
+@pytest.mark.parametrize("join_chunk", [1, 2, 3, 65_536])
+def test_fetch_gives_one_zero_step(spark, join_chunk):
     batched, steps = padding_tables(spark)
-    got = sorted((r.ID, r.pos, r.x) for r in batching.fetch_steps(batched, steps, features=["x"]).collect())
-    assert got[-1] == (3, 1, 0.0) and len(got) == 6
+    fetched = batching.fetch_steps(batched, steps, features=["x"], join_chunk=join_chunk)
+    got = sorted((r.ID, r.pos, r.x) for r in fetched.collect())
+    assert got == [(1, 1, 1.0), (1, 2, 2.0), (2, 1, 3.0), (2, 2, 4.0), (2, 3, 5.0), (3, 1, 0.0)]
 
 
 def test_shuffle_keeps_groups(spark):
