@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldpanel.schemas import INDEX_COLS
@@ -83,12 +80,3 @@ class Prep:
         types = [f"{CATEGORY}_{level}" for level in model.stages[0].labels]
         blocks = {"_types": types, "_scaled": scaled}
         return FittedPrep(model, [n for p in parts for n in blocks[p]] + passed)
-
-
-def low_probability(vector: str = "probability"):
-    """Probability of class 0."""
-    return vector_to_array(F.col(vector))[0]
-
-
-def slice_names(names: Sequence[str], indices: Sequence[int]) -> list[str]:
-    return [names[i] for i in indices]

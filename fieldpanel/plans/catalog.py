@@ -18,7 +18,6 @@ from fieldpanel.schemas import (
     BOUNDED_INDICES,
     DATE_COLS,
     INDEX_COLS,
-    PIXEL_KEY,
     RATE_COLS,
     RAW_SCHEMA,
     RECORD_KEY,
