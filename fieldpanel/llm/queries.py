@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpanel.llm import common, packing, simhash
+from fieldpanel.llm import common, labelled, packing, quality_classifier, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +19,31 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.pieces().select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a third of the ids is held out of training."""
+    docs, apart = common.documents(spark, sf_dir), labelled.held_out("doc_id", 3, 1)
+    model = toxicity.train(docs, _labels(spark, sf_dir), apart)
+    found = toxicity.detect(docs, model, threshold=0.7)
+    return found.select("doc_id", apart.alias("held_out"), "score", "predicted", "offending")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a third of the ids is held out of training."""
+    docs, apart = common.documents(spark, sf_dir), labelled.held_out("doc_id", 3, 1)
+    model = quality_classifier.train(docs, _labels(spark, sf_dir), apart)
+    return quality_classifier.classify(docs, model, threshold=0.5).select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links at three bits or fewer."""
     found = simhash.near_duplicates(common.documents(spark, sf_dir), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op9_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_toxicity, op6_quality_classifier, op9_simhash)}
 
 ORACLES: dict[str, str] = {}

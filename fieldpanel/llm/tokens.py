@@ -16,8 +16,8 @@ import numpy as np
 KEPT_WORDS = 800_000
 
 #: White space other than the space and the line feed, and the controls that some libraries count as such.
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_CONTROL = re.compile("[\x1c-\x1f]")
+_OTHER_SPACE = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))) + "]")
+_CONTROL = re.compile("[" + "".join(map(chr, range(28, 32))) + "]")
 
 
 class WordEncoder:
