@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,20 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 512
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python can import it."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="llm-"), "llm_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in [package.parent / "__init__.py", *package.glob("*.py")]:
+            out.write(source, source.relative_to(package.parent.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(spark.sparkContext.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -88,4 +104,5 @@ def runs(batches: Iterable[pa.RecordBatch], same: Callable[[pa.RecordBatch], obj
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpanel.llm import common, labelled, packing, quality_classifier, simhash, toxicity
+from fieldpanel.llm import common, labelled, language_id, packing, quality_classifier, quality_rules, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.pieces().select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a quarter of the ids is held out of training."""
+    docs, apart = common.documents(spark, sf_dir), labelled.held_out("doc_id", 4, 2)
+    model = language_id.train(docs, apart)
+    return language_id.identify(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -31,6 +38,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", apart.alias("held_out"), "score", "predicted", "offending")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of the weighed rules."""
+    found = quality_rules.judge(common.documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "good", "kept")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; a third of the ids is held out of training."""
     docs, apart = common.documents(spark, sf_dir), labelled.held_out("doc_id", 3, 1)
@@ -44,6 +57,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_toxicity, op6_quality_classifier, op9_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_language_id, op3_toxicity, op5_quality_rules, op6_quality_classifier, op9_simhash)}
 
 ORACLES: dict[str, str] = {}
