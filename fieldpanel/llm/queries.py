@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpanel.llm import common, labelled, language_id, packing, quality_classifier, quality_rules, simhash, toxicity
+from fieldpanel.llm import common, labelled, language_id, packing, quality_classifier, quality_rules, simhash, token_blocks, top_k, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,12 +51,35 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, model, threshold=0.5).select("doc_id", apart.alias("held_out"), "score", "predicted")
 
 
+def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to block files in the order of doc_id and read back."""
+    docs = common.documents(spark, sf_dir)
+    files = token_blocks.write(docs, common.scratch(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_blocks.read(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links at three bits or fewer."""
     found = simhash.near_duplicates(common.documents(spark, sf_dir), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_language_id, op3_toxicity, op5_quality_rules, op6_quality_classifier, op9_simhash)}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all other vectors for every hundredth id."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", top_k.whole_numbers(F.col("embedding")).alias("vector"))
+    return top_k.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_language_id, op3_toxicity, op5_quality_rules, op6_quality_classifier, op7_token_blocks, op9_simhash, op10_top_k)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_top_k": """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS double)) AS bigint) FOR x IN embedding] AS vector FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.vector, c.vector)]) AS bigint) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS int) AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
+}
