@@ -11,6 +11,8 @@ Meetings are handled as runs of a sorted stream, and a run emits a spanning fore
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 from fieldpanel.llm import common
 from fieldpanel.llm.components import connected_components
 
+#: Fingerprints of :func:`one_of_each`, in words of 64 bits, and the segments of the first one.
+KEY_WORDS, FULL_WORDS, SEGMENTS, WIDTH = 3, 4, 8, 24
+
 #: Runs up to this many rows are compared all at once, pair by pair; longer ones row block by row block.
 _SMALL_RUN = 16
 _BLOCK_CELLS = 1 << 21
@@ -85,7 +90,7 @@ def _segment(fps: np.ndarray, at: int, width: int) -> np.ndarray:
 
 
 def _entries(nodes: DataFrame, segments: int, width: int) -> DataFrame:
-    """``key, asks, node, fp``: table entries of each node, and the neighbours of its segments that it asks for."""
+    """``key, asks, node, full``: table entries of each node, and the neighbours of its segments that it asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1024):
@@ -103,12 +108,12 @@ def _entries(nodes: DataFrame, segments: int, width: int) -> DataFrame:
                     asks.append(np.ones(len(zero), bool))
                     rows.append(zero)
             at = np.concatenate(rows)
-            data = fps[at].tobytes()
-            step = fps.shape[1] * 8
-            fixed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(0, step * len(at) + 1, step, dtype=np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(asks)), pa.array(ids[at]), fixed], names=["key", "asks", "node", "fp"])
+            full = np.array(batch.column("full").to_pylist(), np.int64).reshape(len(raw), -1)
+            step = full.shape[1] * 8
+            fixed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(0, step * len(at) + 1, step, dtype=np.int32)), pa.py_buffer(full[at].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(asks)), pa.array(ids[at]), fixed], names=["key", "asks", "node", "full"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "key long, asks boolean, node long, fp binary")
+    return nodes.select("node", "fp", "full").mapInArrow(run, "key long, asks boolean, node long, full binary")
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -157,10 +162,11 @@ def _links_of(keys: np.ndarray, asks: np.ndarray, fps: np.ndarray, radius: int)
 
 
 def links(nodes: DataFrame, radius: int = 3, segments: int = 2, width: int = 32) -> DataFrame:
-    """``a, b``: links between nodes (``node long, fp array<long>``, distinct fingerprints) with the same components as
-    all pairs that differ in at most ``radius`` bits and in at most one bit within some segment.
+    """``a, b``: links between nodes (``node long, fp array<long>, full array<long>``) with the same components as all pairs
+    that differ in at most one bit within some segment of ``fp`` and in at most ``radius`` bits of ``full``.
 
-    With ``radius < 2 * segments`` and segments that cover the fingerprint, these are all pairs within the radius.
+    With one and the same fingerprint, covered by the segments, and ``radius < 2 * segments``, these are all pairs within
+    the radius.
     """
 
     def same(batch: pa.RecordBatch) -> np.ndarray:
@@ -171,7 +177,7 @@ def links(nodes: DataFrame, radius: int = 3, segments: int = 2, width: int = 32)
         for batch in common.runs(batches, same):
             keys, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(len(keys), -1)
+            fps = np.frombuffer(b"".join(batch.column("full").to_pylist()), np.uint64).reshape(len(keys), -1)
             a, b = _links_of(keys, asks, fps, radius)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
@@ -196,7 +202,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
         raise ValueError("two segments find all links up to radius 3")
     marked = common.stored(fingerprints(docs, shingle, 1, id_col, text_col))
     nodes = distinct_nodes(marked)
-    return members(marked, nodes, common.stored(links(nodes, radius)))
+    return members(marked, nodes, common.stored(links(nodes.withColumn("full", F.col("fp")), radius)))
 
 
 def members(marked: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -205,3 +211,39 @@ def members(marked: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of so many bits differ, on average, if shingle sets have this Jaccard similarity."""
+    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies, with the columns of ``docs``: the row of the least id, null ids last.
+
+    Copies are told by a long fingerprint of word shingles (``FULL_WORDS`` words of 64 bits): two texts are linked if the
+    similarity that their distance stands for is ``similarity`` or more. Fingerprints this far apart share no segment,
+    so the tables are keyed by a second fingerprint over word pairs, in which such texts differ much less:
+    ``SEGMENTS`` segments of ``WIDTH`` bits, each asked for within a radius of one. Null and empty texts are copies of
+    each other, and so are repeated rows.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            texts = common.texts(batch)
+            near = [fingerprint(shingle_hashes(t, 2), KEY_WORDS) for t in texts]
+            full = [fingerprint(shingle_hashes(t, shingle), FULL_WORDS) for t in texts]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(near, kind), pa.array(full, kind)], names=["row", "doc_id", "fp", "full"])
+
+    row = f"_row_{uuid.uuid4().hex}"
+    numbered = common.stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    wanted = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = common.stored(wanted.mapInArrow(run, "row long, doc_id long, fp array<long>, full array<long>"))
+    # Equal fingerprints are one node, and of its rows the first one by id can stay.
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "row")).alias("first")
+    nodes = common.stored(marked.groupBy("fp", "full").agg(first).select(F.monotonically_increasing_id().alias("node"), "fp", "full", "first"))
+    found = common.stored(links(nodes, radius_of(similarity, 64 * FULL_WORDS), SEGMENTS, WIDTH))
+    rooted = nodes.select("node", "first").join(connected_components(found), "node", "left")
+    stays = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    chosen = common.stored(stays.select(F.col("first.row").alias(row)))
+    return numbered.join(chosen, row, "left_semi").select(*docs.columns)
