@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from fieldpanel.llm import common, labelled
 from fieldpanel.llm.words import WordScores
 
 #: Labelled documents that the counts come from, at most; words and n-grams of each size and language that are kept.
-SAMPLE, KEPT = 20_000, 20_000
+SAMPLE, KEPT = 8_000, 20_000
 SIZES = (5, 4, 3, 2, 1)
 #: A word is known if it was counted this often; each count is raised by this much before logs are taken.
 LEAST_COUNT, SMOOTHING = 3, 0.5
@@ -29,27 +30,37 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Model:
-    """``languages``; for size 0 (words) and every n-gram size a map to log frequencies per language."""
+    """``languages``; for size 0 (words) and every n-gram size the rows of entries, and log frequencies per row and language."""
 
-    def __init__(self, languages: list[str], tables: dict[int, dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], tables: dict[int, tuple[dict[str, int], np.ndarray]]):
         self.languages, self.tables = languages, tables
 
-    def _of_word(self, word: str) -> np.ndarray:
-        known = self.tables.get(0, {}).get(word)
-        if known is not None:
-            return known
-        marked = f"<{word}>"
-        for n in SIZES:
-            table = self.tables.get(n, {})
-            found = [table[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in table]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+    def _of_words(self, words: list[str]) -> np.ndarray:
+        """A row of log frequencies for each word; zeros where nothing of it is known."""
+        width = len(self.languages)
+        out, left = np.zeros((len(words), width)), np.arange(len(words))
+        for n in (0, *SIZES):
+            if n not in self.tables or not len(left):
+                continue
+            if not n:
+                grams, owner = [words[i] for i in left], left
+            else:
+                marked = [f"<{words[i]}>" for i in left]
+                grams = [m[i : i + n] for m in marked for i in range(len(m) - n + 1)]
+                owner = np.repeat(left, [max(0, len(m) - n + 1) for m in marked])
+            place, logs = self.tables[n]
+            row = np.fromiter(map(place.get, grams, repeat(-1)), np.int64, len(grams))
+            row, owner = row[row >= 0], owner[row >= 0]
+            hits = np.bincount(owner, minlength=len(words))
+            for k in range(width):
+                out[:, k] += np.bincount(owner, logs[row, k], len(words)) / np.maximum(hits, 1)
+            left = left[hits[left] == 0]
+        return out
 
     def predictor(self) -> Callable[[Sequence[str]], list[tuple[str, float]]]:
         """Language and its share of belief for each text; ``und`` and 0 without letters or learned languages."""
         width = len(self.languages)
-        kept = WordScores(lambda words: np.array([self._of_word(w) for w in words]).reshape(-1, width), width)
+        kept = WordScores(self._of_words, width)
 
         def predict(texts: Sequence[str]) -> list[tuple[str, float]]:
             words = [[w for w in _LETTERS.findall(t.lower())] for t in texts]
@@ -107,17 +118,18 @@ def _totals(words: DataFrame) -> DataFrame:
 def _model(rows: list, totals: dict[tuple[str, int], int]) -> Model:
     languages = sorted({lang for lang, _ in totals})
     place = {lang: k for k, lang in enumerate(languages)}
-    counts: dict[int, dict[str, np.ndarray]] = {}
+    entries: dict[int, dict[str, int]] = {}
+    for _, size, entry, _ in rows:
+        table = entries.setdefault(size, {})
+        table.setdefault(entry, len(table))
+    counts = {size: np.full((len(table), len(languages)), SMOOTHING) for size, table in entries.items()}
     for lang, size, entry, n in rows:
-        table = counts.setdefault(size, {})
-        if entry not in table:
-            table[entry] = np.full(len(languages), SMOOTHING)
-        table[entry][place[lang]] += n
-    for size, table in counts.items():
+        counts[size][entries[size][entry], place[lang]] += n
+    tables = {}
+    for size, table in entries.items():
         whole = np.array([totals.get((lang, size), 0) + SMOOTHING * len(table) for lang in languages])
-        for entry in table:
-            table[entry] = np.log(table[entry] / whole)
-    return Model(languages, counts)
+        tables[size] = table, np.log(counts[size] / whole)
+    return Model(languages, tables)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
