@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpanel.llm import common, labelled, language_id, packing, quality_classifier, quality_rules, simhash, token_blocks, top_k, toxicity
+from fieldpanel.llm import common, labelled, language_id, lattice, packing, quality_classifier, quality_rules, simhash, token_blocks, top_k, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", apart.alias("held_out"), "score", "predicted", "offending")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    return lattice.encode(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict of the weighed rules."""
     found = quality_rules.judge(common.documents(spark, sf_dir))
@@ -70,7 +75,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_language_id, op3_toxicity, op5_quality_rules, op6_quality_classifier, op7_token_blocks, op9_simhash, op10_top_k)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_language_id, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_quality_classifier, op7_token_blocks, op9_simhash, op10_top_k)}
 
 ORACLES: dict[str, str] = {
     "op10_top_k": """
