@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpanel.llm import common, labelled, language_id, lattice, packing, quality_classifier, quality_rules, simhash, token_blocks, top_k, toxicity
+from fieldpanel.llm import chat, common, labelled, language_id, lattice, packing, quality_classifier, quality_rules, simhash, token_blocks, top_k, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,11 @@ def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded role and canonical text of every turn."""
+    return chat.format_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links at three bits or fewer."""
     found = simhash.near_duplicates(common.documents(spark, sf_dir), shingle=3, radius=3)
@@ -75,7 +80,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_language_id, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_quality_classifier, op7_token_blocks, op9_simhash, op10_top_k)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_language_id, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_quality_classifier, op7_token_blocks, op8_chat_format, op9_simhash, op10_top_k)}
 
 ORACLES: dict[str, str] = {
     "op10_top_k": """
