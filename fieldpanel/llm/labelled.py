@@ -22,7 +22,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: Sequence[t
     """``text, label`` of at most so many labelled rows of each class, in the order of a hash of their ids.
 
     Rows for which ``apart`` (a column over ``labels``) is true, null labels and null ids are left out, and the largest
-    label counts where an id has several. The chosen ids are bounded by the given numbers, so they are broadcast and
+    label counts where an id has several; a label without a document gives no row. The chosen ids are bounded by the given numbers, so they are broadcast and
     no text is shuffled to find them.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~apart).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label).alias("label"))

