@@ -26,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 
 #: Chances of the votes bad, none, good that are assumed beforehand, for bad and for good documents, and what share of
 #: the documents they weigh as much as.
-PRIOR, PRIOR_WEIGHT = np.array([[0.3, 0.3, 0.4], [0.005, 0.295, 0.7]]), 0.2
+PRIOR, PRIOR_WEIGHT = np.array([[0.3, 0.3, 0.4], [0.005, 0.295, 0.7]]), 0.05
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_closed_lines", "n_upper_words", "n_plain_words", "n_distinct_words")
 _SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS)
