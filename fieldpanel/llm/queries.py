@@ -60,7 +60,7 @@ def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to block files in the order of doc_id and read back."""
     docs = common.documents(spark, sf_dir)
     files = token_blocks.write(docs, common.scratch(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return token_blocks.read(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_blocks.read(files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

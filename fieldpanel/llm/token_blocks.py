@@ -152,8 +152,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, drops_space: boo
     return common.stored(dealt.mapInArrow(run, "shard long, file long, ids binary, lengths binary, doc_ids array<long>, n_ids long"), folder)
 
 
-def read(files: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32, ids`` of every document, decoded from the files.
+def read(files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files, and its ``ids`` if asked for.
 
     ``start`` counts the ids of all documents before it, by running sums over the files; ``ids`` are unsigned 32-bit
     little-endian and ``ids_crc32`` their unsigned checksum.
@@ -163,11 +163,11 @@ def read(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1):
             base, names, ids, lengths = (batch.column(c)[0].as_py() for c in ("base", "doc_ids", "ids", "lengths"))
-            values, sizes = decode(ids).astype("<u4").tobytes(), decode(lengths).astype(np.int64)
+            values, sizes = memoryview(decode(ids).astype("<u4").tobytes()), decode(lengths).astype(np.int64)
             starts = np.cumsum(sizes) - sizes
             parts = [values[4 * a : 4 * b] for a, b in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
-            cols = [pa.array(names, pa.int64()), pa.array(base + starts), pa.array(sizes), pa.array(map(crc32, parts), pa.int64()), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+            cols = [pa.array(names, pa.int64()), pa.array(base + starts), pa.array(sizes), pa.array(map(crc32, parts), pa.int64()), *([pa.array(map(bytes, parts), pa.binary())] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
     placed = files.join(bases.select("shard", "file", "base"), ["shard", "file"]).select("base", "doc_ids", "ids", "lengths")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

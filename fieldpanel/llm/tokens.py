@@ -13,7 +13,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Words whose ids a worker keeps; it starts anew beyond that, so memory is bounded and results don't depend on it.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 1_200_000
 
 #: White space other than the space and the line feed, and the controls that some libraries count as such.
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))) + "]")
@@ -35,6 +35,8 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        # Where case makes no difference, ASCII words are kept in lower case alone.
+        self.lowers = self._whole("AZ") == self._whole("az")
         self.line_end = b"" if drops_space else self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
@@ -52,7 +54,7 @@ class WordEncoder:
     def _words(self, text: str) -> list[str]:
         """With white space kept, a word carries the space or line end before it; a line end stands for the start of the text."""
         if self.drops_space:
-            return text.split()
+            return (text.lower() if self.lowers and text.isascii() else text).split()
         return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
