@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from fieldpanel.schemas import INDEX_COLS
 
 # Identifiers that never become features, and the columns the linear model standardises.
-IDENTIFIERS = ["ID", "PixelID", "Season", "SrvvR_Date"]
+IDENTIFIERS = ["ID", "PixelID", "Season", "SrvvR_Date", "record_no"]
 SCALED = [*INDEX_COLS, "Density"]
 CATEGORY = "Type"
 LABEL = "target"

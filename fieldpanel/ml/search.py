@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldpanel.ml.evaluate import in_threads, scorer
-from fieldpanel.ml.models import GBT, LR, RF, ModelSpec, fit, fit_on_features, weighted
+from fieldpanel.ml.models import GBT, LR, RF, ModelSpec, fit, fit_on_features, slicer, weighted
+from fieldpanel.ml.select import choose_features
 from fieldpanel.operators.split import group_folds
 from fieldpanel.sources.io import materialise
 
@@ -65,8 +66,6 @@ def default_space(kind: str) -> dict[str, Any]:
             "max_depth": RandInt(2, 10),
             "learning_rate": Uniform(0.01, 0.3),
             "n_estimators": RandInt(500, 2000),
-            "reg_alpha": LogUniform(1e-4, 1e2),
-            "reg_lambda": LogUniform(1e-4, 1e2),
         },
         RF: {
             "criterion": ["gini", "entropy", "log_loss"],
@@ -118,25 +117,30 @@ def cross_validate(
     seed: int = 591,
     key: str = "ID",
     parallelism: int = 2,
+    weight_col: str | None = None,
 ) -> list[dict[str, Any]]:
     """One record per (config, fold) with score, fit and score seconds.
 
-    Rows are prepared once per fold and shared by all configurations; fits of a fold run side by side.
+    Rows are prepared once per fold and shared by all configurations; fits of a fold run side by side. Features are
+    selected and classes weighted inside each fit, as in the refit of the best configuration.
     """
+    reserved = tuple({*spec.prep.reserved, *([weight_col] if weight_col else [])})
     folded = materialise(group_folds(df.dropna(), num_folds, seed, key))
     records = []
     for f in range(num_folds):
         train = folded.filter(F.col("fold") != f).drop("fold")
-        prep = spec.prep.fit(train)
+        prep = replace(spec.prep, reserved=reserved).fit(train)
         seen = prep.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
         held = prep.transform(folded.filter(F.col("fold") == f)).persist(StorageLevel.MEMORY_AND_DISK)
 
         def one(i: int) -> dict[str, Any]:
             params = {**spec.params, **configs[i]}
             start = time.time()
-            model = fit_on_features(spec.kind, params, spec.seed, weighted(seen, params))
+            rows = weighted(seen, params, weight_col)
+            cut = slicer(choose_features(replace(spec, params=params), rows, len(prep.names), key))
+            model = fit_on_features(spec.kind, params, spec.seed, cut.transform(rows), "chosen")
             fitted = time.time()
-            score = scorer(scoring).evaluate(model.transform(held))
+            score = scorer(scoring).evaluate(model.transform(cut.transform(held)))
             return {
                 "config": i, "fold": f, "score": float(score),
                 "fit_time": fitted - start, "score_time": time.time() - fitted,
@@ -193,19 +197,20 @@ def search(
     seed: int = 591,
     key: str = "ID",
     parallelism: int = 2,
+    weight_col: str | None = None,
 ) -> dict[str, Any]:
     """Best configuration over group folds, refitted on all rows: best_model, best_score, best_params, results."""
     if method not in ("random", "grid"):
         raise ValueError("method must be one of: {'random', 'grid'}")
     configs = grid_configs(space) if method == "grid" else sample_configs(space, num_iter, seed)
-    records = cross_validate(spec, df, configs, num_folds, scoring, seed, key, parallelism)
+    records = cross_validate(spec, df, configs, num_folds, scoring, seed, key, parallelism, weight_col)
     sums = [0.0] * len(configs)
     for r in records:
         sums[r["config"]] += r["score"]
     larger = scorer(scoring).isLargerBetter()
     best = min(range(len(configs)), key=lambda i: (-sums[i] if larger else sums[i], i))
     out = {
-        "best_model": fit(replace(spec, params={**spec.params, **configs[best]}), df, key=key),
+        "best_model": fit(replace(spec, params={**spec.params, **configs[best]}), df, weight_col, key),
         "best_score": sums[best] / num_folds,
         "best_params": configs[best],
     }

@@ -14,33 +14,11 @@ from pyspark.sql import functions as F
 
 from fieldpanel.functions.scalar import log_days, record_key, seasonal_cosine, zscore
 from fieldpanel.operators.match import day_number
-from fieldpanel.operators.ordering import hot_keys
 from fieldpanel.operators.reshape import add_one_hot
 from fieldpanel.schemas import INDEX_COLS, PIXEL_KEY, RECORD_KEY, TASSELED_CAP, TYPE_LEVELS
 
 STEP_FEATURES = ["log_dt", "neg_cos_DOY", *INDEX_COLS]
-WHOLE = -1_000_000  # slice number of a key that is not cut into days
-
-
-def _slices(observations: DataFrame, keys: Sequence[str], min_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(hot keys, observations with their slice, rows before each slice of the hot keys).
-
-    Usual keys form one slice. A key that owns a large part of the table is cut by day, which spreads both its
-    sort and its join over as many tasks as it has days.
-    """
-    hot = F.broadcast(hot_keys(observations, keys, min_rows).withColumn("_hot", F.lit(True)))
-    sliced = observations.join(hot, list(keys), "left").withColumn(
-        "_slice", F.when(F.col("_hot"), day_number(F.col("ImgDate"))).otherwise(F.lit(WHOLE))
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.filter("_hot")
-        .groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
-    )
-    return hot, sliced.drop("_hot"), offsets
+SLICE_DAYS = 365
 
 
 def history_long(
@@ -48,35 +26,31 @@ def history_long(
     observations: DataFrame,
     keys: Sequence[str] = tuple(PIXEL_KEY),
     value_cols: Sequence[str] = tuple(INDEX_COLS),
-    min_rows: int = 1_000_000,
+    slice_days: int = SLICE_DAYS,
 ) -> DataFrame:
     """All observations on or before each record's date: (keys, SrvvR_Date, pos, log_dt, neg_cos_DOY, values).
 
     ``pos`` counts from 1 for the oldest step; observations of one day are ordered by their values. Records
-    without history have no rows.
+    without history have no rows. Every pixel is cut into slices of ``slice_days``: the sort and the join of a
+    pixel with very many observations are spread over its slices, and the rows before a slice are a running sum
+    over slice sizes.
     """
     keys = list(keys)
-    _, sliced, offsets = _slices(observations, keys, min_rows)
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy("ImgDate", "DOY", *value_cols)
-    placed = sliced.select(*keys, "_slice", "ImgDate", "DOY", *value_cols).withColumn(
-        "_inside", F.row_number().over(in_slice)
+    sliced = observations.select(*keys, "ImgDate", "DOY", *value_cols).withColumn(
+        "_slice", F.floor(day_number(F.col("ImgDate")) / F.lit(slice_days))
     )
-    dates = records.select(*keys, "SrvvR_Date").dropDuplicates()
-    reached = offsets.withColumnRenamed("_slice", "_s").withColumnRenamed("_before", "_b")
-    wanted = (
-        dates.alias("d")
-        .join(
-            reached.alias("r"),
-            [F.col(f"d.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("_s") <= day_number(F.col("SrvvR_Date"))],
-            "left",
-        )
-        .select(
-            *[F.col(f"d.{k}").alias(k) for k in keys],
-            "SrvvR_Date",
-            F.coalesce("_s", F.lit(WHOLE)).alias("_slice"),
-            F.coalesce("_b", F.lit(0)).alias("_before"),
-        )
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        sliced.groupBy(*keys, "_slice")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .drop("_rows")
     )
+    in_slice = Window.partitionBy(*keys, "_slice").orderBy("ImgDate", "DOY", *value_cols)
+    placed = sliced.withColumn("_inside", F.row_number().over(in_slice))
+    reached = F.floor(day_number(F.col("SrvvR_Date")) / F.lit(slice_days))
+    dates = records.select(*keys, "SrvvR_Date").dropDuplicates()
+    wanted = dates.join(offsets, keys, "inner").filter(F.col("_slice") <= reached)
     # The ranked side is already partitioned by (keys, slice), so the join moves only the record dates.
     joined = placed.join(wanted, [*keys, "_slice"], "inner").filter(F.col("ImgDate") <= F.col("SrvvR_Date"))
     return joined.select(
@@ -137,10 +111,10 @@ def sequence_tables(
     stats: DataFrame,
     levels: Sequence[str] = tuple(v for v in TYPE_LEVELS if v != "Mixed"),
     zero_std: str = "null",
-    min_rows: int = 1_000_000,
+    slice_days: int = SLICE_DAYS,
 ) -> tuple[DataFrame, DataFrame]:
     """(lookup, steps) ready for modelling: standardised, encoded, addressed by ``filename``."""
-    steps = history_long(records, apply_stats(observations, stats, TASSELED_CAP, zero_std), min_rows=min_rows)
+    steps = history_long(records, apply_stats(observations, stats, TASSELED_CAP, zero_std), slice_days=slice_days)
     kept = apply_stats(with_history(records, observations), stats, ["Density"], zero_std)
     address = record_key([F.col("ID"), F.col("PixelID")], F.col("SrvvR_Date"))
     types = [f"Type_{v}" for v in levels]
@@ -178,7 +152,7 @@ def summarise_steps(
 ) -> DataFrame:
     """Fixed-width description of each sequence: last, mean, min, max, slope per day, recency-weighted mean.
 
-    The weight of a step is one over one plus its age in days. All are mergeable aggregates, so a long
+    The weight of a step is one over one plus its age in days. A step without value counts in ``seq_len`` alone. All are mergeable aggregates, so a long
     sequence is reduced before it is shuffled.
     """
     age = F.expm1("log_dt")
@@ -191,7 +165,7 @@ def summarise_steps(
             F.avg(value).alias(f"{c}_mean"),
             F.min(value).alias(f"{c}_min"),
             F.max(value).alias(f"{c}_max"),
-            F.try_divide(F.covar_pop(value, -age), F.var_pop(age)).alias(f"{c}_slope"),
-            (F.sum(value * weight) / F.sum(weight)).alias(f"{c}_recent"),
+            F.try_divide(F.covar_pop(value, -age), F.var_pop(F.when(value.isNotNull(), age))).alias(f"{c}_slope"),
+            F.try_divide(F.sum(value * weight), F.sum(F.when(value.isNotNull(), weight))).alias(f"{c}_recent"),
         ]
     return steps.groupBy(*keys).agg(*out)

@@ -54,21 +54,31 @@ def window_means(
     keys: Sequence[str] = tuple(SURVEY_KEY),
     key_by_date: bool = False,
     dedupe: bool = False,
+    join_keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Mean of each value column over the observations in the window of each survey group.
 
+    ``join_keys`` are the columns by which surveys meet observations; by default those of ``ID`` and ``PixelID`` that
+    are among ``keys``. Observations are first summed and counted by day, so a pixel's many observations of one day
+    are one row of the join.
+
     Surveys are first reduced to one weighted row per (keys, date); the weight stands for the repeats that
     a plain join would produce. By default all dates of one key pool their windows; ``key_by_date`` keeps
     them apart. ``dedupe`` counts equal observations once.
     """
-    join_keys = [k for k in keys if k in PIXEL_KEY]
+    join_keys = [k for k in keys if k in PIXEL_KEY] if join_keys is None else list(join_keys)
+    if not join_keys or not set(join_keys) <= set(keys):
+        raise ValueError(f"join_keys must name some of the keys {list(keys)}, got {join_keys}")
     seen = observations.select(*join_keys, "ImgDate", *value_cols)
     seen = seen.dropDuplicates() if dedupe else seen
+    daily = seen.groupBy(*join_keys, "ImgDate").agg(
+        *[F.sum(c).alias(f"_sum_{c}") for c in value_cols], *[F.count(c).alias(f"_count_{c}") for c in value_cols]
+    )
     weighted = surveys.groupBy(*keys, "SrvvR_Date").agg(F.count(F.lit(1)).alias("_weight"))
-    pairs = window_join(weighted, seen, days, join_keys)
+    pairs = window_join(weighted, daily, days, join_keys)
     group = [*keys, "SrvvR_Date"] if key_by_date else list(keys)
     means = [
-        (F.sum(F.col(c) * F.col("_weight")) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("_weight"))), F.lit(0))).alias(c)
+        F.try_divide(F.sum(F.col(f"_sum_{c}") * F.col("_weight")), F.sum(F.col(f"_count_{c}") * F.col("_weight"))).alias(c)
         for c in value_cols
     ]
     return pairs.groupBy(*group).agg(*means)
@@ -81,10 +91,12 @@ def match_window(
     value_cols: Sequence[str] = tuple(INDEX_COLS),
     key_by_date: bool = False,
     dedupe: bool = False,
+    keys: Sequence[str] = tuple(SURVEY_KEY),
+    join_keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every survey row with its window means; null means where nothing was observed."""
-    means = window_means(surveys, observations, days, value_cols, SURVEY_KEY, key_by_date, dedupe)
-    on = [*SURVEY_KEY, "SrvvR_Date"] if key_by_date else SURVEY_KEY
+    means = window_means(surveys, observations, days, value_cols, keys, key_by_date, dedupe, join_keys)
+    on = [*keys, "SrvvR_Date"] if key_by_date else list(keys)
     return surveys.join(means, on, "left").select(*surveys.columns, *value_cols)
 
 
@@ -95,8 +107,11 @@ def label(df: DataFrame, threshold: float | None, column: str = "target") -> Dat
 def label_thresholds(df: DataFrame, thresholds: Sequence[float] = tuple(THRESHOLDS), column: str = "target") -> DataFrame:
     """One labelled copy of the table per threshold, told apart by a ``threshold`` column in percent.
 
-    The list is exploded inside the projection, so the copies cost no join and no shuffle.
+    The list is exploded inside the projection, so the copies cost no join and no shuffle. Thresholds that are no whole
+    percents are refused, since two of them could share one label.
     """
+    if odd := [t for t in thresholds if abs(check_threshold(t) * 100 - round(check_threshold(t) * 100)) > 1e-9]:
+        raise ValueError(f"thresholds must be whole percents, got {odd}")
     steps = [
         F.struct(
             F.lit(round(check_threshold(t) * 100)).alias("threshold"),

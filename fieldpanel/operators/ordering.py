@@ -90,18 +90,6 @@ def with_cutoffs(df: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(cutoffs))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = 1_000_000, max_keys: int = 10_000) -> DataFrame:
-    """Keys that own more than ``min_rows`` rows and more than a ``1 / max_keys`` share of the table.
-
-    The second condition bounds the answer: fewer than ``max_keys`` keys whatever the table size, so it is safe
-    to broadcast.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    whole = counts.agg(F.sum("_n").alias("_all"))
-    hot = (F.col("_n") > min_rows) & (F.col("_n") * max_keys > F.col("_all"))
-    return counts.crossJoin(F.broadcast(whole)).filter(hot).select(*keys)
-
-
 def explode_range(df: DataFrame, low: Column, high: Column, name: str, step: int = 4096) -> DataFrame:
     """One row per integer of [low, high]; nothing for an empty range.
 

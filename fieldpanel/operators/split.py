@@ -38,7 +38,10 @@ def group_folds(df: DataFrame, folds: int = 5, seed: int = 591, key: str = "ID",
         base, extra = F.floor(total / folds), total % folds
         return F.array(*[i * base + F.least(F.lit(i), extra) for i in range(1, folds)])
 
-    marked = with_cutoffs(df, hash_cutoffs(df, key, seed, wanted))
+    cutoffs = hash_cutoffs(df, key, seed, wanted)
+    # The cutoff row is checked where it is attached, so no job runs while the plan is built.
+    enough = F.size("_cutoffs") == folds - 1
+    marked = with_cutoffs(df, cutoffs.withColumn("_cutoffs", F.when(enough & (F.size(F.array_distinct("_cutoffs")) == folds - 1), F.col("_cutoffs")).otherwise(F.raise_error(F.lit("fewer keys than folds")))))
     value = hash_order([key], seed)
     passed = F.size(F.filter("_cutoffs", lambda c: c < value))
     return marked.withColumn(fold, passed.cast("int")).drop("_cutoffs")

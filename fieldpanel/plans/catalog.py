@@ -149,19 +149,9 @@ def features(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFr
     return clean.drop_incomplete(match.label(matched(spark, sf_dir), threshold))
 
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def written(name: str, make: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stage output that several queries of one session share, written once to the shared folder."""
-    at = (spark.sparkContext.applicationId, sf_dir, name)
-    if at not in _WRITTEN:
-        _WRITTEN[at] = io.materialise(make(spark, sf_dir))
-    return _WRITTEN[at]
-
-
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written("features", features, spark, sf_dir)
+    """Labelled complete rows, written once per query."""
+    return io.materialise(features(spark, sf_dir))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -504,10 +494,19 @@ def group_folds(spark, sf_dir):
     return split.group_folds(tidy(spark, sf_dir)).select(*OBS_COLS, "TCG", "fold")
 
 
-@query("balanced_folds")
+@query(
+    "balanced_folds",
+    f"""WITH RECURSIVE {CLEAN_SQL.strip().removeprefix("WITH")},
+sizes AS (SELECT size, row_number() OVER (ORDER BY size DESC, ID) AS i FROM (SELECT ID, count(*) AS size FROM clean GROUP BY ID)),
+dealt AS (SELECT CAST(0 AS bigint) AS i, CAST(-1 AS bigint) AS fold, CAST(0 AS bigint) AS size, CAST([0, 0, 0, 0, 0] AS bigint[]) AS loads
+  UNION ALL SELECT s.i, list_position(d.loads, list_min(d.loads)) - 1, s.size,
+    [CASE WHEN k = list_position(d.loads, list_min(d.loads)) THEN d.loads[k] + s.size ELSE d.loads[k] END FOR k IN [1, 2, 3, 4, 5]]
+  FROM dealt d JOIN sizes s ON s.i = d.i + 1)
+SELECT CAST(fold AS int) AS fold, count(*) AS n_keys, CAST(sum(size) AS bigint) AS n_rows FROM dealt WHERE fold >= 0 GROUP BY fold""",
+)
 def balanced_folds(spark, sf_dir):
     folded = split.balanced_folds(tidy(spark, sf_dir).select("ID"))
-    return folded.groupBy("fold", "ID").agg(F.count(F.lit(1)).alias("rows"))
+    return folded.groupBy("fold").agg(F.count_distinct("ID").alias("n_keys"), F.count(F.lit(1)).alias("n_rows"))
 
 
 LABELLED_SQL = f"{MATCH_SQL}, labelled AS (SELECT * REPLACE (CASE WHEN target < 70 THEN 0 ELSE 1 END AS target) FROM matched WHERE NDVI IS NOT NULL)"
@@ -778,8 +777,8 @@ def sequence_lookup(spark, sf_dir):
     f"""{TABLES_SQL} SELECT {listed(RECORD_KEY)}, count(*) AS seq_len, """
     + ", ".join(
         f"round(arg_max({c}, pos), {MEAN_DIGITS}) + 0e0 AS {c}_last, round(avg({c}), {MEAN_DIGITS}) + 0e0 AS {c}_mean, round(min({c}), {MEAN_DIGITS}) + 0e0 AS {c}_min, "
-        f"round(max({c}), {MEAN_DIGITS}) + 0e0 AS {c}_max, round(covar_pop({c}, 1 - exp(log_dt)) / nullif(var_pop(exp(log_dt) - 1), 0), {MEAN_DIGITS}) + 0e0 AS {c}_slope, "
-        f"round(sum({c} * exp(-log_dt)) / sum(exp(-log_dt)), {MEAN_DIGITS}) + 0e0 AS {c}_recent"
+        f"round(max({c}), {MEAN_DIGITS}) + 0e0 AS {c}_max, round(covar_pop({c}, 1 - exp(log_dt)) / nullif(var_pop(exp(log_dt) - 1) FILTER ({c} IS NOT NULL), 0), {MEAN_DIGITS}) + 0e0 AS {c}_slope, "
+        f"round(sum({c} / exp(log_dt)) / sum(1 / exp(log_dt)) FILTER ({c} IS NOT NULL), {MEAN_DIGITS}) + 0e0 AS {c}_recent"
         for c in ["NDVI", "TCB"]
     )
     + " FROM steps GROUP BY ALL",
@@ -920,103 +919,179 @@ def early_stop(spark, sf_dir):
 
 # --- models --------------------------------------------------------------------------------------------------
 
-FOREST = {"n_estimators": 10, "max_depth": 5, "class_weight": "balanced"}
-BOOSTED = {"n_estimators": 5, "max_depth": 3}
+FOREST = {"n_estimators": 100, "max_depth": 8, "class_weight": "balanced"}
+BOOSTED = {"n_estimators": 20, "max_depth": 4}
+
+FEATURES_SQL = f"""{MATCH_SQL},
+features AS (SELECT *, CASE WHEN target < 70 THEN 0 ELSE 1 END AS y FROM matched WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [*SURVEY_COLS, "Density", "target", *INDEX_COLS])}),
+feature_ids AS (SELECT ID, row_number() OVER (ORDER BY md5(concat(ID, ':591'))) AS r, count(*) OVER () AS n
+  FROM (SELECT DISTINCT ID FROM features))"""
+NO_FAULTS = "CAST(0 AS bigint) AS repeated, CAST(0 AS bigint) AS outside, CAST(0 AS bigint) AS disagreeing"
+
+
+def prediction_facts(predicted: DataFrame, by: list[str]) -> DataFrame:
+    """Rows, sites and class-0 rows, and what must be 0: repeated records, probabilities outside 0..1, classes that
+    are not the likelier one."""
+    outside = ~F.col("y_prob").between(0, 1) | F.isnan("y_prob")
+    disagreeing = F.col("y_pred") != F.when(F.col("y_prob") >= 0.5, 0).otherwise(1)
+    return predicted.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("ID").alias("n_sites"),
+        F.count_if(F.col("y_true") == 0).alias("n_low"),
+        (F.count(F.lit(1)) - F.count_distinct(*evaluate.RECORD)).alias("repeated"),
+        F.count_if(outside).alias("outside"),
+        F.count_if(disagreeing).alias("disagreeing"),
+    )
+
+
+OOF_SQL = f"""{FEATURES_SQL}, folded AS (SELECT ID, CAST(ntile(5) OVER (ORDER BY r) - 1 AS int) AS fold FROM feature_ids)
+SELECT fold, count(*) AS n_rows, count(DISTINCT ID) AS n_sites, count(*) FILTER (y = 0) AS n_low, {NO_FAULTS}
+FROM features JOIN folded USING (ID) GROUP BY fold"""
 
 
-@query("lr_oof")
+@query("lr_oof", OOF_SQL)
 def lr_oof(spark, sf_dir):
-    return evaluate.out_of_fold(models.build_logistic_regression(), model_rows(spark, sf_dir))
+    return prediction_facts(evaluate.out_of_fold(models.build_logistic_regression(), model_rows(spark, sf_dir)), ["fold"])
 
 
-@query("rf_oof")
+@query("rf_oof", OOF_SQL)
 def rf_oof(spark, sf_dir):
-    return evaluate.out_of_fold(models.build_random_forest(**FOREST), model_rows(spark, sf_dir))
+    return prediction_facts(evaluate.out_of_fold(models.build_random_forest(**FOREST), model_rows(spark, sf_dir)), ["fold"])
 
 
-@query("gbt_oof")
+@query("gbt_oof", OOF_SQL)
 def gbt_oof(spark, sf_dir):
-    return evaluate.out_of_fold(models.build_gradient_boosting(**BOOSTED), model_rows(spark, sf_dir))
+    return prediction_facts(evaluate.out_of_fold(models.build_gradient_boosting(**BOOSTED), model_rows(spark, sf_dir)), ["fold"])
 
 
-@query("hold_out_metrics")
+@query(
+    "hold_out_metrics",
+    f"""{FEATURES_SQL} SELECT count(*) AS n_rows, count(DISTINCT ID) AS n_sites, count(*) FILTER (y = 0) AS n_low, {NO_FAULTS},
+count(*) AS n_records, CAST(0 AS bigint) AS bad_scores FROM features JOIN feature_ids USING (ID) WHERE r > floor(0.7e0 * n)""",
+)
 def hold_out_metrics(spark, sf_dir):
     train, test = split.group_split(model_rows(spark, sf_dir))
-    return evaluate.evaluation(evaluate.hold_out(models.build_random_forest(**FOREST), train, test))
+    held = io.materialise(evaluate.hold_out(models.build_random_forest(**FOREST), train, test))
+    scores = evaluate.evaluation(held)
+    shares = ["f1", "f2", "precision", "recall", "accuracy", "auc", "ap"]
+    bad = sum((~F.coalesce(F.col(c).between(0, 1), F.lit(False))).cast("long") for c in shares)
+    return prediction_facts(held, []).crossJoin(scores.select("n_records", bad.alias("bad_scores")))
 
 
-@query("model_reload")
+@query("model_reload", f"{FEATURES_SQL} SELECT count(*) AS n_rows, CAST(0 AS bigint) AS changed FROM features")
 def model_reload(spark, sf_dir):
     path = io.scratch_dir(spark)
-    rows = model_rows(spark, sf_dir)
-    models.fit(models.build_random_forest(**FOREST), rows).save(path)
-    return evaluate.predictions(models.FittedModel.load(path), rows)
+    rows = io.materialise(evaluate.numbered(model_rows(spark, sf_dir).dropna()))
+    model = models.fit(models.build_random_forest(**FOREST), rows)
+    model.save(path)
+    before = evaluate.predictions(model, rows)
+    after = evaluate.predictions(models.FittedModel.load(path), rows).select(*evaluate.RECORD, F.struct("y_pred", "y_prob").alias("after"))
+    changed = F.count_if(~F.struct("y_pred", "y_prob").eqNullSafe(F.col("after")))
+    return before.join(after, evaluate.RECORD, "left").agg(F.count(F.lit(1)).alias("n_rows"), changed.alias("changed"))
 
 
-@query("search_log")
+def fold_facts(experiments: DataFrame) -> DataFrame:
+    """Fits by fold, and how many have a score outside 0..1."""
+    bad = ~F.coalesce(F.col("score").between(0, 1), F.lit(False))
+    return experiments.groupBy("fold").agg(F.count(F.lit(1)).alias("fits"), F.count_if(bad).alias("bad_scores"))
+
+
+def fold_sql(configs: int) -> str:
+    """Every configuration is fitted once in every fold that has sites."""
+    return f"""{FEATURES_SQL}, folded AS (SELECT CAST(ntile(5) OVER (ORDER BY r) - 1 AS int) AS fold FROM feature_ids)
+SELECT DISTINCT fold, CAST({configs} AS bigint) AS fits, CAST(0 AS bigint) AS bad_scores FROM folded"""
+
+
+@query("search_log", fold_sql(3))
 def search_log(spark, sf_dir):
-    space = {"n_estimators": search.RandInt(3, 8), "max_depth": search.RandInt(1, 5), "class_weight": ["balanced", None]}
+    space = {"n_estimators": search.RandInt(20, 40), "max_depth": search.RandInt(1, 5), "class_weight": ["balanced", None]}
     spec = models.build_random_forest()
-    found = search.search(spec, model_rows(spark, sf_dir), space, "random", 3, 3, return_results=True)
-    return found["results"]
+    found = search.search(spec, model_rows(spark, sf_dir), space, "random", 3, return_results=True)
+    return fold_facts(found["experiments"])
 
 
-@query("grid_experiments")
+@query("grid_experiments", fold_sql(4))
 def grid_experiments(spark, sf_dir):
     space = {"C": [0.01, 1.0], "penalty": ["l2", "l1"]}
-    spec = models.build_logistic_regression(max_iter=20)
     rows = model_rows(spark, sf_dir)
     configs = search.grid_configs(space)
-    records = search.cross_validate(spec, rows, configs, num_folds=3)
-    return search.experiment_table(rows, records, configs)
+    records = search.cross_validate(models.build_logistic_regression(), rows, configs)
+    return fold_facts(search.experiment_table(rows, records, configs))
+
+
+TYPES_SQL = "(SELECT count(DISTINCT Type) FROM features)"
 
 
-@query("rfe")
+@query(
+    "rfe",
+    f"""{FEATURES_SQL}, size AS (SELECT {len(INDEX_COLS) + 2} + {TYPES_SQL} AS n), ranks AS (SELECT n, unnest(generate_series(1, 1 + CAST(ceil((n - 4) / 4e0) AS int))) AS rank FROM size)
+SELECT CAST(rank AS int) AS rank, CAST(CASE WHEN rank = 1 THEN 4 WHEN rank = 2 THEN n - 4 - 4 * (ceil((n - 4) / 4e0) - 1) ELSE 4 END AS bigint) AS features,
+CAST(CASE WHEN rank = 1 THEN 4 ELSE 0 END AS bigint) AS selected FROM ranks""",
+)
 def rfe(spark, sf_dir):
-    spec = models.build_random_forest("RFE", step_RFE=4, num_feats_RFE=4, **FOREST)
-    return select.rank_features(spec, model_rows(spark, sf_dir))
+    spec = models.build_random_forest(models.Selection("RFE", 4, 4), **FOREST)
+    ranked = select.rank_features(spec, model_rows(spark, sf_dir))
+    return ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("features"), F.count_if("selected").alias("selected"))
 
 
-@query("rfecv")
+@query("rfecv", f"{FEATURES_SQL} SELECT CAST({len(INDEX_COLS) + 2} + {TYPES_SQL} AS bigint) AS features, CAST(0 AS bigint) AS too_few, CAST(0 AS bigint) AS not_first")
 def rfecv(spark, sf_dir):
-    spec = models.build_logistic_regression("RFECV", step_RFE=3, num_folds_RFECV=3, max_iter=20)
-    return select.rank_features(spec, model_rows(spark, sf_dir))
+    spec = models.build_logistic_regression(models.Selection("RFECV", step=3))
+    ranked = select.rank_features(spec, model_rows(spark, sf_dir))
+    return ranked.agg(
+        F.count_distinct("feature").alias("features"),
+        F.greatest(F.lit(6) - F.count_if("selected"), F.lit(0)).cast("long").alias("too_few"),
+        F.count_if(F.col("selected") != (F.col("rank") == 1)).alias("not_first"),
+    )
 
 
-@query("perm_importance")
+@query("perm_importance", f"{FEATURES_SQL} SELECT CAST({len(INDEX_COLS) + 3} + {TYPES_SQL} AS bigint) AS features, CAST(5 * ({len(INDEX_COLS) + 3} + {TYPES_SQL}) AS bigint) AS scores, CAST(0 AS bigint) AS constant_moved")
 def perm_importance(spark, sf_dir):
+    """With a constant among the features, which no permutation can change."""
     selector = ml_importance.ImportanceSelector(models.build_random_forest(**FOREST), "permute")
-    scores = selector.fit(model_rows(spark, sf_dir)).values
-    return importance.confidence_interval(scores, ["feature"], "importance")
+    rows = model_rows(spark, sf_dir).withColumn("always", F.lit(1.0))
+    scores = selector.fit(rows).values
+    moved = (F.col("feature") == "always") & (F.col("importance") != 0)
+    return scores.agg(F.count_distinct("feature").alias("features"), F.count(F.lit(1)).alias("scores"), F.count_if(moved).alias("constant_moved"))
 
 
-@query("tree_contributions")
+@query("tree_contributions", f"{FEATURES_SQL} SELECT count(*) AS n_rows, CAST(0 AS bigint) AS not_adding_up FROM features")
 def tree_contributions(spark, sf_dir):
-    selector = ml_importance.ImportanceSelector(models.build_random_forest(**FOREST), "SHAP")
-    explained = selector.fit(model_rows(spark, sf_dir)).values
-    return explained.select(*RECORD_KEY, "Age", "base", F.posexplode("phi").alias("feature", "phi"))
+    """Contributions of the features that, with the base, make the probability of class 0."""
+    selector = ml_importance.ImportanceSelector(models.build_random_forest(**FOREST), "SHAP", 100)
+    found = selector.fit(model_rows(spark, sf_dir))
+    whole = F.aggregate("phi", F.lit(0.0), lambda a, x: a + x) + F.col("base")
+    keyed = found.values.select(*RECORD_KEY, "Age", whole.alias("whole"))
+    return keyed.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.coalesce(F.col("whole").between(-1e-9, 1 + 1e-9), F.lit(False))).alias("not_adding_up"))
 
 
-@query("selector_features")
+@query("selector_features", f"{FEATURES_SQL} SELECT count(*) AS n_rows, count(DISTINCT ID) AS n_sites, CAST(0 AS bigint) AS kept_missing FROM features")
 def selector_features(spark, sf_dir):
-    selector = ml_importance.ImportanceSelector(
-        models.build_logistic_regression(max_iter=50), "SHAP", 3, keep_features=["NDVI", "TCB"], scaler=True
-    )
+    selector = ml_importance.ImportanceSelector(models.build_logistic_regression(), "SHAP", 3, keep_features=["NDVI", "TCB"], scaler=True)
     rows = model_rows(spark, sf_dir)
-    return selector.fit(rows).transform(rows).drop("SrvvR_Date")
+    found = selector.fit(rows)
+    missing = len({"NDVI", "TCB"} - set(found.selected_features))
+    return found.transform(rows).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ID").alias("n_sites"), F.lit(missing).cast("long").alias("kept_missing"))
 
 
 def sequence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, seen = sequence_inputs(spark, sf_dir)
     tables = history.sequence_tables(records, seen, history.normalisation_stats(seen, records))
-    return seqreg.sequence_features(*tables)
+    return io.materialise(seqreg.sequence_features(*tables))
 
 
-@query("seq_regression")
+@query(
+    "seq_regression",
+    f"""{TABLES_SQL}, rows AS (SELECT * FROM lookup SEMI JOIN lengths USING (ID, PixelID, SrvvR_Date)),
+row_ids AS (SELECT ID, row_number() OVER (ORDER BY md5(concat(ID, ':591'))) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT ID FROM rows))
+SELECT Age, count(*) AS n_rows, round(avg(target), 6) + 0e0 AS mean_true, CAST(0 AS bigint) AS outside
+FROM rows JOIN row_ids USING (ID) WHERE r > floor(0.7e0 * n) GROUP BY Age""",
+)
 def seq_regression(spark, sf_dir):
-    train, test = split.group_split(written("sequence_rows", sequence_rows, spark, sf_dir))
-    predicted = seqreg.SequenceRegressor(True, max_iter=5).fit(train).predict(test)
-    return metrics.metrics_by_group(predicted, ["Age"], DIGITS, "raw_y_true", "raw_y_pred")
+    train, test = split.group_split(sequence_rows(spark, sf_dir))
+    predicted = seqreg.SequenceRegressor(True).fit(train).predict(test)
+    outside = ~F.coalesce(F.col("raw_y_pred").between(0, 100), F.lit(False))
+    return predicted.groupBy("Age").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("raw_y_true").alias("mean_true"), F.count_if(outside).alias("outside"))
 
 
 @query("flagship", f"{MATCH_SQL} SELECT {listed(SURVEY_COLS)}, {rounded(['Density', *INDEX_COLS], digits=MEAN_DIGITS)}, CASE WHEN target < 70 THEN 0 ELSE 1 END AS target FROM matched", MEAN_DIGITS)

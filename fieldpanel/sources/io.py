@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,18 +21,24 @@ from fieldpanel.schemas import RAW_SCHEMA, STATS_SCHEMA, check_schema, require_k
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder name below the shared folder of the session.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a temporary folder serves local
-    sessions (tests); elsewhere it is an error, since executors could not see it.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, sessions in one process (tests) get a
+    temporary folder that goes when Python ends; elsewhere it is an error, since executors could not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="fieldpanel-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share before the session starts")
+        base = _local_folder(spark.sparkContext.applicationId)
     return f"{base}/{uuid.uuid4().hex}"
 
 
+@cache
+def _local_folder(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix=f"fieldpanel-{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scan(spark: SparkSession, path: str, schema: T.StructType | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet table, under a declared schema where given; asked columns only reach the reader."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -82,7 +91,8 @@ def save_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def load_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(paths)
+    """CSV under a declared schema; a header that names or orders the columns otherwise is an error."""
+    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(paths)
 
 
 def with_path_labels(df: DataFrame, suffix: str) -> DataFrame:
