@@ -91,3 +91,22 @@ def test_labels_fan_out_in_one_projection(spark):
     out = match.label_thresholds(surveys.withColumn("target", F.lit(65.0)))
     assert {(r.threshold, r.target) for r in out.collect()} == {(50, 1), (60, 1), (70, 0), (80, 0)}
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_other_key_names(spark):
+    """Sites are kept apart whatever the key columns are called, and a match without keys is refused."""
+    date = dt.date(2010, 1, 1)
+    surveys = spark.createDataFrame([("s1", 1, 2, date), ("s2", 1, 2, date)], "site string, pix long, Age int, SrvvR_Date date")
+    seen = spark.createDataFrame([("s1", 1, date, 1.0), ("s2", 1, date, 3.0)], "site string, pix long, ImgDate date, v double")
+    out = match.match_window(surveys, seen, 5, ["v"], keys=["site", "pix", "Age"], join_keys=["site", "pix"])
+    assert {(r.site, r.v) for r in out.collect()} == {("s1", 1.0), ("s2", 3.0)}
+    for join_keys in (None, [], ["other"]):
+        with pytest.raises(ValueError):
+            match.match_window(surveys, seen, 5, ["v"], keys=["site", "pix", "Age"], join_keys=join_keys)
+
+
+def test_thresholds_are_whole_percents(spark):
+    surveys = tables(spark)[0]
+    assert {r.threshold for r in match.label_thresholds(surveys, [0.66, 0.29]).collect()} == {66, 29}
+    with pytest.raises(ValueError):
+        match.label_thresholds(surveys, [0.66, 0.665])

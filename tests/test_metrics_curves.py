@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from fieldpanel.operators import curves, importance, metrics, profile
 from fieldpanel.sources import io
 
-Y_TRUE = [0, 0, 1, 1, 1, 1, 0, 0, 1, 1, 1, 0, 0, 0, 1, 0, 0, 0, 1, 1, 1, 1]
-Y_PRED = [0, 0, 0, 0, 1, 1, 1, 1, 0, 0, 0, 0, 1, 1, 1, 0, 0, 0, 1, 1, 1, 1]
-Y_PROB = [0.1, 0.2, 0.4, 0.4, 0.9, 0.9, 0.9, 0.9, 0.1, 0.1, 0.1, 0.1, 0.9, 0.8, 0.7, 0.1, 0.1, 0.1, 0.9, 0.9, 0.9, 0.9]
-AGE = [1, 2, 3, 4, 5, 7, 1, 2, 3, 5, 7, 1, 3, 5, 7, 2, 4, 2, 1, 5, 3, 3]
+#: (truth, prediction, probability of class 0, age): three hits, two misses, one false alarm, four rightly left.
+CASES = [
+    (0, 0, 0.9, 1), (0, 0, 0.9, 1), (0, 0, 0.9, 2), (0, 1, 0.3, 2), (0, 1, 0.3, 3),
+    (1, 0, 0.6, 1), (1, 1, 0.3, 2), (1, 1, 0.1, 3), (1, 1, 0.1, 3), (1, 1, 0.1, 3),
+]
+Y_TRUE, Y_PRED, Y_PROB, AGE = (list(x) for x in zip(*CASES))
+# Published score groups, which these curves must give again.
 # (score, rows of class 0, rows of class 1) in descending order.
 COUNTS_80 = [
     (0.6381269912221222, 1654, 2587), (0.6315345075567612, 1973, 2790), (0.6251068074141686, 1866, 2450),
@@ -28,28 +31,28 @@ COUNTS_50 = [
 
 @pytest.fixture(scope="module")
 def predicted(spark):
-    rows = list(zip(Y_TRUE, Y_PRED, Y_PROB, AGE))
-    return spark.createDataFrame(rows, "y_true int, y_pred int, y_prob double, Age int")
+    return spark.createDataFrame(CASES, "y_true int, y_pred int, y_prob double, Age int")
 
 
 def test_matrix_and_scores(predicted):
     counts = metrics.confusion(predicted)
-    assert tuple(counts.first()) == (6, 4, 5, 7)
-    assert [tuple(r) for r in metrics.confusion_matrix(counts).collect()] == [("True Low", 6, 4), ("True High", 5, 7)]
+    assert tuple(counts.first()) == (3, 2, 1, 4)
+    assert [tuple(r) for r in metrics.confusion_matrix(counts).collect()] == [("True Low", 3, 2), ("True High", 1, 4)]
     melted = metrics.melt_matrix(metrics.confusion_matrix(counts)).collect()
-    assert {(r["True"], r["Predicted"]): r["Count"] for r in melted}[("True High", "Predicted Low")] == 5
+    assert {(r["True"], r["Predicted"]): r["Count"] for r in melted}[("True High", "Predicted Low")] == 1
     row = metrics.class_metrics(counts).first()
-    assert (row.precision, row.recall, row.n_records) == (0.545, 0.6, 22)
-    assert row.f1 == pytest.approx(0.571) and row.f2 == pytest.approx(0.588) and row.accuracy == pytest.approx(0.591)
-    assert (row.pct_low, row.pct_high) == (pytest.approx(45.5), pytest.approx(54.5))
+    assert (row.precision, row.recall, row.n_records) == (0.75, 0.6, 10)
+    assert row.f1 == pytest.approx(0.667) and row.f2 == pytest.approx(0.625) and row.accuracy == pytest.approx(0.7)
+    assert (row.pct_low, row.pct_high) == (pytest.approx(50), pytest.approx(50))
 
 
 def test_areas(predicted):
     cumulative = curves.cumulative_counts(curves.score_counts(predicted))
     row = curves.curve_scores(cumulative).first()
-    assert row.auc == pytest.approx(0.3625) and round(row.ap, 3) == 0.403
+    # 22 of 25 pairs are in order, a tie counting half; precision is 1, 3/4, 5/7, 1/2 down the scores.
+    assert row.auc == pytest.approx(0.88) and row.ap == pytest.approx(0.6 + 0.4 * 5 / 7)
     got = [(r.tp, r.fp) for r in cumulative.orderBy(F.desc("score")).collect()]
-    assert got == [(3, 6), (4, 6), (4, 7), (4, 9), (5, 9), (10, 12)]
+    assert got == [(3, 0), (3, 1), (5, 2), (5, 5)]
 
 
 def test_absent_predictions_score_zero(spark):
@@ -61,7 +64,7 @@ def test_absent_predictions_score_zero(spark):
 def test_by_age(predicted):
     raw = predicted.withColumns({f"raw_{c}": F.when(F.col(c) == 0, 60.0).otherwise(90.0) for c in ("y_true", "y_pred")})
     rows = metrics.metrics_by_group(raw, ["Age"], 3, "raw_y_true", "raw_y_pred").collect()
-    assert {r.Age: r.n_records for r in rows} == {1: 4, 2: 4, 3: 5, 4: 2, 5: 4, 7: 3}
+    assert {r.Age: r.n_records for r in rows} == {1: 3, 2: 3, 3: 4}
     errors = {a: sum((t != p) for t, p, b in zip(Y_TRUE, Y_PRED, AGE) if b == a) / AGE.count(a) for a in set(AGE)}
     for r in rows:
         assert r.rmse == pytest.approx(30 * math.sqrt(errors[r.Age]))
@@ -126,6 +129,12 @@ def test_curve_files_carry_their_path(spark, tmp_path, predicted):
     assert back.count() == 2 * drawn.count()
 
 
+def test_csv_header_must_fit(spark, tmp_path):
+    spark.createDataFrame([(1.0, 2.0)], "recall double, precision double").write.option("header", True).csv(f"{tmp_path}/swapped")
+    with pytest.raises(Exception, match="header"):
+        io.load_csv(spark, f"{tmp_path}/swapped", "precision double, recall double").collect()
+
+
 def test_linear_contributions_add_up(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 5.0), (5.0, -1.0)], "a double, b double")
     out = importance.linear_contributions(df, {"a": 2.0, "b": -1.0}, 0.5).collect()

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -56,11 +57,11 @@ def test_scaling_uses_the_population_deviation(rows):
 @pytest.mark.parametrize("build", models.BUILDERS.values())
 def test_builder_arguments(build):
     with pytest.raises(ValueError):
-        build(feat_select="best")
+        build(models.Selection("best"))
     with pytest.raises(ValueError):
         build(drop_features="NDVI")
-    spec = build(drop_features=["NDVI"], random_state=3)
-    assert spec.seed == 3 and spec.prep.drop_features == ("NDVI",)
+    spec = build(models.Selection("RFE", 5, 2), drop_features=["NDVI"], seed=3)
+    assert spec.seed == 3 and spec.prep.drop_features == ("NDVI",) and (spec.feat_select, spec.num_feats, spec.step) == ("RFE", 5, 2)
 
 
 def test_parameters_reach_the_estimators():
@@ -71,8 +72,11 @@ def test_parameters_reach_the_estimators():
     linear = models.estimator(models.LR, {"C": 0.5, "penalty": "l1"}, 1, 100.0)
     assert linear.getRegParam() == pytest.approx(0.02) and linear.getElasticNetParam() == 1.0
     assert models.estimator(models.LR, {"penalty": None}, 1, 100.0).getRegParam() == 0.0
-    with pytest.raises(ValueError):
-        models.estimator(models.RF, {"colour": 1}, 1, 1.0)
+    assert models.estimator(models.RF, {}, 1, 1.0).getMaxDepth() == 30
+    refused = [(models.RF, {"colour": 1}), (models.RF, {"max_depth": 31}), (models.RF, {"max_depth": None}), (models.GBT, {"max_depth": 40}), (models.GBT, {"reg_alpha": 1.0}), (models.GBT, {"reg_lambda": 1.0})]
+    for kind, params in refused:
+        with pytest.raises(ValueError):
+            models.estimator(kind, params, 1, 1.0)
 
 
 def test_logistic_regression_finds_the_optimum(rows):
@@ -104,7 +108,7 @@ def test_out_of_fold_covers_each_row_once(rows):
 
 
 def test_save_and_load(rows, tmp_path):
-    model = models.fit(models.build_gradient_boosting("RFE", num_feats_RFE=3, step_RFE=6, n_estimators=2, max_depth=2), rows)
+    model = models.fit(models.build_gradient_boosting(models.Selection("RFE", 3, 6), n_estimators=2, max_depth=2), rows)
     assert len(model.selected) == 3
     model.save(str(tmp_path / "m"))
     again = models.FittedModel.load(str(tmp_path / "m"))
@@ -118,6 +122,28 @@ def test_scorers(spark):
     assert got == pytest.approx({"f1": 2 / 3, "accuracy": 0.75, "precision": 2 / 3, "recall": 1.0})
     with pytest.raises(ValueError):
         evaluate.scorer("fame")
+    assert evaluate.scorer("balanced_accuracy").evaluate(df) == pytest.approx(0.75)
+    chances = [0.9, 0.4, 0.6, 0.1]
+    rows = spark.createDataFrame([(t, Vectors.dense(p, 1 - p)) for t, p in zip([0, 0, 1, 1], chances)], ["target", "probability"])
+    areas = {s: evaluate.scorer(s).evaluate(rows) for s in ("roc_auc", "average_precision", "neg_log_loss")}
+    loss = np.log([0.9, 0.4, 0.4, 0.9]).mean()
+    assert areas == pytest.approx({"roc_auc": 0.75, "average_precision": 0.5 + 0.5 * 2 / 3, "neg_log_loss": loss})
+
+
+def test_records_that_share_a_key_stay_apart(rows):
+    """Two dates and two values per age are four records, and every one is predicted under its own id."""
+    later = rows.withColumn("SrvvR_Date", F.date_add("SrvvR_Date", 9))
+    out = evaluate.out_of_fold(models.build_random_forest(**FOREST), rows.unionByName(later).unionByName(rows), 2).collect()
+    complete = rows.dropna().count()
+    assert len(out) == 3 * complete == len({tuple(r[c] for c in evaluate.RECORD) for r in out})
+
+
+def test_selection_inside_the_search_folds(rows):
+    """The fold score is that of a model on the selected features."""
+    space = {"n_estimators": [4]}
+    plain = search.cross_validate(models.build_random_forest(max_depth=3), rows, [{"n_estimators": 4}], 2)
+    chosen = search.cross_validate(models.build_random_forest(models.Selection("RFE", 1, 14), max_depth=3), rows, [{"n_estimators": 4}], 2)
+    assert [r["score"] for r in plain] != [r["score"] for r in chosen] and len(search.grid_configs(space)) == 1
 
 
 def test_search_arguments_and_spaces(rows):
@@ -147,11 +173,11 @@ def test_search_is_reproducible(rows):
 
 
 def test_elimination(rows):
-    spec = models.build_random_forest("RFE", num_feats_RFE=4, step_RFE=3, **FOREST)
+    spec = models.build_random_forest(models.Selection("RFE", 4, 3), **FOREST)
     ranked = select.rank_features(spec, rows).collect()
     assert sorted(r["rank"] for r in ranked) == [1] * 4 + [2] * 2 + [3] * 3 + [4] * 3 + [5] * 3
     assert {r.feature for r in ranked if r.selected} >= {"NDVI"}
-    cv = models.build_random_forest("RFECV", min_num_feats_RFECV=4, step_RFE=6, num_folds_RFECV=2, **FOREST)
+    cv = models.build_random_forest(models.Selection("RFECV", 4, 6, 2), **FOREST)
     assert len(models.fit(cv, rows).selected) in (4, 9, 15)
     with pytest.raises(ValueError):
         models.fit(cv, rows, key="Plot")

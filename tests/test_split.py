@@ -97,3 +97,10 @@ def test_weights(spark):
     df = spark.createDataFrame([(0,)] * 2 + [(1,)] * 6, "target int")
     assert {r.target: r.weight for r in split.class_weights(df).collect()} == {0: 2.0, 1: pytest.approx(2 / 3)}
     assert split.add_class_weights(df).agg(F.sum("weight")).first()[0] == pytest.approx(8.0)
+
+
+def test_fewer_keys_than_folds(spark):
+    df = spark.createDataFrame([(k % 3, k) for k in range(12)], "ID long, v long")
+    with pytest.raises(Exception, match="fewer keys than folds"):
+        split.group_folds(df, 5).collect()
+    assert split.group_folds(df, 3).select("ID", "fold").distinct().count() == 3
