@@ -245,5 +245,6 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     found = common.stored(links(nodes, radius_of(similarity, 64 * FULL_WORDS), SEGMENTS, WIDTH))
     rooted = nodes.select("node", "first").join(connected_components(found), "node", "left")
     stays = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    chosen = common.stored(stays.select(F.col("first.row").alias(row)))
-    return numbered.join(chosen, row, "left_semi").select(*docs.columns)
+    # The rows that go are named, not those that stay: mostly they are few, and then Spark broadcasts their stored file.
+    gone = common.stored(marked.select("row").join(stays.select("first.row"), "row", "left_anti"))
+    return numbered.join(gone.withColumnRenamed("row", row), row, "left_anti").select(*docs.columns)
