@@ -24,7 +24,7 @@ from fieldpanel.operators.importance import top_features
 from fieldpanel.operators.metrics import confusion
 from fieldpanel.operators.ordering import hash_rank
 from fieldpanel.schemas import SURVEY_KEY
-from fieldpanel.sources.io import scratch_dir
+from fieldpanel.sources.io import materialise, scratch_dir
 
 
 def permutation_scores(
@@ -212,17 +212,15 @@ class ImportanceSelector:
         try:
             full = fit_on_features(spec.kind, spec.params, spec.seed, prepared)
             if self.method == "SHAP":
-                values = contributions(full, prepared, len(prep.names))
+                values = materialise(contributions(full, prepared, len(prep.names)))
                 importance = mean_absolute_phi(values, prep.names)
             else:
-                values = permutation_scores(
-                    full, prepared, prep.names, self.repeats, self.scoring, spec.seed, keys
-                )
+                values = materialise(permutation_scores(full, prepared, prep.names, self.repeats, self.scoring, spec.seed, keys))
                 importance = permutation_summary(values).select("feature", "importance")
             # One row per feature.
             rated = {r["feature"]: r["importance"] for r in importance.collect()}
-            plot_data = df.sparkSession.createDataFrame(list(rated.items()), "feature string, importance double")
-            chosen = top_features(plot_data, self.num_feats, self.keep_features).orderBy("position").collect()
+            rating = df.sparkSession.createDataFrame(list(rated.items()), "feature string, importance double")
+            chosen = top_features(rating, self.num_feats, self.keep_features).orderBy("position").collect()
             selected = [r["feature"] for r in chosen]
             cut = slicer([prep.names.index(n) for n in selected])
             model = fit_on_features(spec.kind, spec.params, spec.seed, cut.transform(prepared), "chosen")
@@ -231,16 +229,16 @@ class ImportanceSelector:
         fitted = FittedModel(
             spec.kind, dict(spec.params), PipelineModel(stages=[prep.pipeline, cut, model]), prep.names, selected
         )
-        return SelectorModel(fitted, values, plot_data)
+        return SelectorModel(fitted, values, rating)
 
 
 @dataclass
 class SelectorModel:
-    """The refitted model with the values behind its choice (``values``) and the rating (``plot_data``)."""
+    """The refitted model with the values behind its choice (``values``) and the rating (``rating``)."""
 
     fitted: FittedModel
     values: DataFrame
-    plot_data: DataFrame
+    rating: DataFrame
 
     @property
     def selected_features(self) -> list[str]:
@@ -252,6 +250,17 @@ class SelectorModel:
     def get_params(self) -> dict[str, Any]:
         return self.fitted.get_params()
 
+    def save(self, path: str) -> None:
+        """The model, its values and its rating below one folder."""
+        self.fitted.save(f"{path}/model")
+        self.values.write.mode("overwrite").parquet(f"{path}/values")
+        self.rating.write.mode("overwrite").parquet(f"{path}/rating")
+
+    @classmethod
+    def load(cls, path: str) -> SelectorModel:
+        read = SparkSession.active().read
+        return cls(FittedModel.load(f"{path}/model"), read.parquet(f"{path}/values"), read.parquet(f"{path}/rating"))
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Chosen features as plain columns, next to the input columns that are not features."""
         out = self.fitted.features(df)

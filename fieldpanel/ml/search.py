@@ -201,7 +201,7 @@ def search(
 ) -> dict[str, Any]:
     """Best configuration over group folds, refitted on all rows: best_model, best_score, best_params, results."""
     if method not in ("random", "grid"):
-        raise ValueError("method must be one of: {'random', 'grid'}")
+        raise ValueError(f"unknown search method {method!r}: use random or grid")
     configs = grid_configs(space) if method == "grid" else sample_configs(space, num_iter, seed)
     records = cross_validate(spec, df, configs, num_folds, scoring, seed, key, parallelism, weight_col)
     sums = [0.0] * len(configs)

@@ -11,7 +11,7 @@ from fieldpanel.operators.ordering import hash_cutoffs, hash_order, hash_rank, w
 def mark_train(df: DataFrame, seed: int = 591, prop_train: float = 0.7, key: str = "ID") -> DataFrame:
     """Add ``is_train``: true for the rows of exactly ``int(prop_train * n)`` of the n distinct keys."""
     if not 0 < prop_train < 1:
-        raise ValueError("prop_train must be strictly between 0 and 1")
+        raise ValueError(f"the training share must lie inside (0, 1), got {prop_train}")
 
     def wanted(total: Column) -> Column:
         return F.array(F.floor(F.lit(float(prop_train)) * total))
@@ -87,8 +87,8 @@ def balanced_folds(df: DataFrame, folds: int = 5, seed: int = 591, key: str = "I
             start += n
     plan = spark.createDataFrame(spans, f"_size long, {fold} int, _from long, _to long")
     ranked = hash_rank(sizes, [key], seed, within=["_size"], rank="_rank")
-    # The plan came from the driver and is no longer than folds times the histogram.
-    placed = ranked.join(F.broadcast(plan), "_size", "inner").filter(F.col("_rank").between(F.col("_from"), F.col("_to")))
+    # The plan has a line per size and fold at most; Spark broadcasts it if it is small.
+    placed = ranked.join(plan, "_size", "inner").filter(F.col("_rank").between(F.col("_from"), F.col("_to")))
     return df.join(placed.select(key, fold), key, "inner")
 
 

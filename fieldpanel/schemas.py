@@ -18,6 +18,7 @@ RECORD_KEY = ["ID", "PixelID", "SrvvR_Date"]
 AGES = list(range(1, 8))
 RATE_COLS = [f"SrvvR_{k}" for k in AGES]
 DATE_COLS = [f"AsssD_{k}" for k in AGES]
+# Levels of the composition class, default label thresholds, land uses that count as agricultural.
 TYPE_LEVELS = ["Conifer", "Decidous", "Mixed"]
 THRESHOLDS = [0.5, 0.6, 0.7, 0.8]
 AGRICULTURAL_USES = ["AG", "Fallow", "Cash crop rotation", "Pasture / hay production"]

@@ -253,6 +253,15 @@ def test_selector(rows, method):
     assert 0.5 < model.score(rows.dropna()) <= 1
 
 
+def test_selector_is_saved_with_its_values(rows, tmp_path):
+    model = importance.ImportanceSelector(models.build_random_forest(**FOREST), "permute", 3, repeats=2).fit(rows)
+    model.save(str(tmp_path / "selector"))
+    again = importance.SelectorModel.load(str(tmp_path / "selector"))
+    assert again.selected_features == model.selected_features
+    for name in ("values", "rating"):
+        assert sorted(getattr(again, name).collect()) == sorted(getattr(model, name).collect())
+
+
 def test_selector_keeps_and_weighs(rows):
     weighted = rows.withColumn("w", F.when(F.col("target") == 0, 1.0).otherwise(1e-6))
     spec = models.build_logistic_regression(class_weight=None)
