@@ -26,6 +26,8 @@ ROUNDS, RATE, DECAY, START = 60, 0.3, 0.006, -8.0
 FLOOR = 1e-3
 #: Labelled documents that a model is fitted on, at most: toxic ones and clean ones.
 SAMPLE = {1: 2000, 0: 3000}
+#: Sentences whose chances add up in the score of a text; a longer text scores as its worst passage of so many.
+PASSAGE = 1000
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 _END = frozenset(".!?\n")
@@ -80,6 +82,18 @@ def noisy_or(logits: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0, logits).sum()))
 
 
+def score_of(logits: np.ndarray, bias: float) -> float:
+    """Noisy-or of what the sentences of a text score above the ``bias``, over its worst passage of ``PASSAGE`` sentences.
+
+    The base chance that every sentence has, and doubts spread over a book, would make any text toxic that is long enough.
+    """
+    above = np.where(logits > -np.inf, np.logaddexp(0, logits) - np.logaddexp(0, bias), 0).clip(0)
+    if len(above) > PASSAGE:
+        sums = np.concatenate([[0], np.cumsum(above)])
+        return float(-np.expm1(-(sums[PASSAGE:] - sums[:-PASSAGE]).max().clip(0)))
+    return float(-np.expm1(-above.sum()))
+
+
 def fit(texts: Sequence[str], labels: Sequence[int]) -> Model:
     """Maximise the likelihood of the document labels by gradient steps with per-weight scale (Adam).
 
@@ -135,18 +149,19 @@ def train(docs: DataFrame, labels: DataFrame, apart, label: str = "toxic", id_co
 def detect(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted, offending`` for every row.
 
-    ``score`` is the noisy-or over the sentences of the whole text, ``predicted`` 1 from ``threshold`` on, and
+    ``score`` is that of :func:`score_of` over the sentences of the whole text, ``predicted`` 1 from ``threshold`` on, and
     ``offending`` the numbers (from 0, counted between the marks . ! ? and line ends) of the sentences that score one
     half or more. Null and empty texts score 0. Repeated rows and null ids stay; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.save())
 
     def start():
-        score = Model.load(shared.value).scorer()
+        model = Model.load(shared.value)
+        score, bias = model.scorer(), model.bias
 
         def use(texts):
             logits = score(texts)
-            p = np.array([noisy_or(x) for x in logits])
+            p = np.array([score_of(x, bias) for x in logits])
             where = [np.nonzero(x >= 0)[0].tolist() for x in logits]
             return [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(where, pa.list_(pa.int32()))]
 
@@ -161,7 +176,8 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model.save())
 
     def start():
-        score = Model.load(shared.value).scorer()
-        return lambda texts: [noisy_or(x) < threshold for x in score(texts)]
+        model = Model.load(shared.value)
+        score, bias = model.scorer(), model.bias
+        return lambda texts: [score_of(x, bias) < threshold for x in score(texts)]
 
     return labelled.kept(docs, start, text_col)

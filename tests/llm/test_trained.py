@@ -103,6 +103,16 @@ def test_toxicity(spark, corpus):
     assert toxicity.keep(odd, model).schema == odd.schema and toxicity.keep(frames.no_docs(spark), model).count() == 0
 
 
+def test_long_clean_texts_stay(spark, corpus):
+    """Length alone is no offence, and one insult in a long text still is."""
+    docs, labels = corpus
+    model, rng = toxicity.train(docs, labels, F.lit(False)), random.Random(6)
+    texts = [" ".join(frames.sentence(rng, "en", 10) for _ in range(n)) for n in (10, 1_000, 50_000)]
+    long = frames.docs_of(spark, [*enumerate(texts), (3, texts[2] + " you nitwit there.")])
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.detect(long, model).collect()} == {0: 0, 1: 0, 2: 0, 3: 1}
+    assert frames.ids_of(toxicity.keep(long, model)) == [(True, k) for k in range(3)]
+
+
 def test_noisy_or():
     logits = np.array([0.3, -2.0, 1.1, -np.inf])
     p = 1 / (1 + np.exp(-logits))
