@@ -28,6 +28,8 @@ from fieldpanel.llm.components import connected_components
 #: Minima of :func:`one_of_each`, standard deviations by which their share may fall short, rows of a block of a large key.
 BANDS, BAND_ROWS, MARGIN, BLOCK = 24, 4, 4.5, 1024
 
+#: Rows of a key that a task of :func:`links` compares at once; larger keys are dealt into blocks.
+RUN = 8192
 #: Runs up to this many rows are compared all at once, pair by pair; longer ones row block by row block.
 _SMALL_RUN = 16
 _BLOCK_CELLS = 1 << 21
@@ -172,19 +174,41 @@ def links(nodes: DataFrame, radius: int = 3, segments: int = 2, width: int = 32)
     """
 
     def same(batch: pa.RecordBatch) -> np.ndarray:
-        keys = batch.column("key").to_numpy()
-        return np.concatenate([[False], keys[1:] == keys[:-1]])
+        x = [batch.column(c).to_numpy() for c in ("key", "part")]
+        return np.concatenate([[False], (x[0][1:] == x[0][:-1]) & (x[1][1:] == x[1][:-1])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.runs(batches, same):
             keys, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
             fps = np.frombuffer(b"".join(batch.column("full").to_pylist()), np.uint64).reshape(len(keys), -1)
-            a, b = _links_of(keys, asks, fps, radius)
+            a, b = _links_of(np.cumsum(~same(batch)), asks, fps, radius)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
-    met = _entries(nodes, segments, width).repartition("key").sortWithinPartitions("key", "asks")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    met = _parts(_entries(nodes, segments, width), RUN)
+    return met.repartition("key", "part").sortWithinPartitions("key", "part", "asks").mapInArrow(run, "a long, b long").distinct()
+
+
+def _parts(entries: DataFrame, size: int) -> DataFrame:
+    """The entries with their ``part`` of a key: a key of over ``size`` rows is dealt into blocks of about half of that, and
+    every two blocks that can hold a link are a part, so a task holds two blocks whatever the size of the key.
+
+    Table entries fill blocks 0 to p - 1, asking ones p to p + q - 1; of two table blocks the later one asks.
+    """
+    sums = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum((~F.col("asks")).cast("long")).alias("own")).filter(F.col("n") > size)
+    half = max(1, size // 2)
+    large = common.stored(sums.select("key", F.ceil(F.col("own") / half).alias("p"), F.ceil((F.col("n") - F.col("own")) / half).alias("q")))
+    if large.isEmpty():
+        return entries.withColumn("part", F.lit(0).cast("long"))
+    block = lambda n: F.pmod(F.xxhash64(F.lit(7), "node"), F.col(n))
+    rows = entries.join(large, "key", "left").withColumn("i", F.when(F.col("p") > 0, F.when(F.col("asks"), F.col("p") + block("q")).otherwise(block("p"))))
+    at = lambda i, j, asks: F.struct((i * F.expr("p + q") + j).alias("part"), asks.alias("asks"))
+    own = F.transform(F.expr("sequence(0L, p + q - 1)"), lambda j: F.when(j < F.col("i"), at(j, F.col("i"), F.lit(True))).otherwise(at(F.col("i"), j, F.lit(False))))
+    ask = F.transform(F.expr("sequence(0L, p - 1)"), lambda j: at(j, F.col("i"), F.lit(True)))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("part"), F.col("asks").alias("asks")))
+    # A key without table entries has no links.
+    dealt = rows.filter("p is null or p > 0").withColumn("at", F.explode(F.when(F.col("p").isNull(), whole).when(F.col("asks"), ask).otherwise(own)))
+    return dealt.select("key", "at.part", "at.asks", "node", "full")
 
 
 def distinct_nodes(marked: DataFrame) -> DataFrame:

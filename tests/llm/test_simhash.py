@@ -171,3 +171,16 @@ def test_large_keys_meet_in_blocks(spark, monkeypatch):
     root = roots(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     assert len(set(root)) == 3
     assert sorted(r["doc_id"] for r in simhash.one_of_each(frames.docs_of(spark, rows)).collect()) == sorted(set(root))
+
+
+def test_large_runs_are_dealt_into_blocks(spark, monkeypatch):
+    """One segment value holds most nodes: parts stay small, and the components are those of all pairs."""
+    monkeypatch.setattr(simhash, "RUN", 40)
+    rng = np.random.default_rng(11)
+    fps = sorted({int(x) << 32 | 5 for x in rng.integers(0, 2**9, 300)} | {int(x) << 32 | 7 for x in rng.integers(0, 2**9, 100)})
+    nodes = spark.createDataFrame([(k, [x]) for k, x in enumerate(fps)], "node long, fp array<long>").withColumn("full", F.col("fp"))
+    parts = simhash._parts(simhash._entries(nodes, 2, 32), 40).groupBy("key", "part").count()
+    assert parts.agg(F.max("count")).first()[0] <= 80
+    root = dict(components.connected_components(common.stored(simhash.links(nodes, 1))).collect())
+    pairs = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 1]
+    assert [root.get(k, k) for k in range(len(fps))] == roots(len(fps), pairs)
