@@ -17,7 +17,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldpanel.llm import common
@@ -25,7 +26,7 @@ from fieldpanel.llm import common
 ROLES = ("system", "user", "assistant")
 #: Words that name a speaker before a colon (fixed values).
 MARKERS = {"system": ("system", "instruction", "instructions"), "user": ("user", "human", "customer", "question", "q"), "assistant": ("assistant", "ai", "bot", "agent", "answer", "a")}
-#: Turns of a chunk, by their numbers.
+#: Turns of a chunk, by position.
 CHUNK = 64
 
 _NAMES = "|".join(name for names in MARKERS.values() for name in names)
@@ -122,19 +123,40 @@ def split_transcripts(transcripts: DataFrame, id_col: str = "conv_id", text_col:
     return transcripts.select(F.col(id_col).alias("conv_id"), parts).select("conv_id", F.col("turn").cast("long").alias("turn"), "text", F.lit(None).cast("string").alias("role"))
 
 
-def chunks(turns: DataFrame) -> DataFrame:
-    """Stored ``conv_id, chunk, turns``: the distinct turns of each chunk in the order of number, text and role.
+def chunks(turns: DataFrame, repeats: bool = False) -> DataFrame:
+    """Stored ``conv_id, chunk, turns``: the different turns of each chunk in the order of number, text and role.
 
-    Equal turns are dropped before they meet, so repeats don't gather in one task.
+    Chunks are cut by position, so none holds more than ``CHUNK`` turns, whatever their numbers. Equal turns are counted
+    before they meet (``n``; 1 without ``repeats``), so they don't gather in one task.
     """
-    wanted = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"), F.col("role").cast("string").alias("role")).distinct()
-    grouped = wanted.groupBy("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("turns"))
-    return common.stored(grouped)
+    cols = ["conv_id", "turn", "text", "role"]
+    wanted = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"), F.col("role").cast("string").alias("role"))
+    counted = wanted.groupBy(*cols).agg((F.count("*") if repeats else F.lit(1)).cast("long").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, at = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            places = []
+            for conv in batch.column("conv_id").to_pylist():
+                now, at = conv, at + 1 if conv == now else 1
+                places.append(at - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(places), pa.int64()), pa.array(places, pa.int64())], names=[*batch.schema.names, "part", "place"])
+
+    # Ranges of the whole order: a conversation may span several, and each says how many of its turns lie in it.
+    ordered = common.stored(counted).repartitionByRange(*cols).sortWithinPartitions(*cols)
+    placed = common.stored(ordered.mapInArrow(run, "conv_id long, turn long, text string, role string, n long, part long, place long"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy("conv_id", "part").agg(F.count("*").alias("size")).withColumn("base", F.sum("size").over(before))
+    # Only conversations that go on in a later range need a base.
+    later = common.stored(bases.filter("base is not null").select("conv_id", "part", "base"))
+    same = placed["conv_id"].eqNullSafe(later["conv_id"]) & (placed["part"] == later["part"])
+    chunk = F.floor((F.coalesce("base", F.lit(0)) + F.col("place")) / CHUNK).alias("chunk")
+    based = placed.join(later, same, "left").select(placed["conv_id"], chunk, F.struct("turn", "text", "role", "n").alias("one"))
+    return common.stored(based.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("one")).alias("turns")))
 
 
 def train(chunked: DataFrame) -> Model:
-    """Count starts, changes and shown symbols over all turns with a known role. Changes over chunk borders and starts
-    of later chunks are not counted."""
+    """Count starts, changes and shown symbols over all turns with a known role; what a turn shows counts as often as it occurs."""
     place = {role: k for k, role in enumerate(ROLES)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,16 +164,24 @@ def train(chunked: DataFrame) -> Model:
         for batch in batches:
             for chunk, turns in zip(batch.column("chunk").to_pylist(), batch.column("turns").to_pylist(), strict=True):
                 roles = [place.get(t["role"]) for t in turns]
-                found = [("change", a, b) for a, b in zip(roles, roles[1:], strict=False) if a is not None and b is not None]
-                found += [("show", r, s) for r, t in zip(roles, turns, strict=True) if r is not None for s in symbols(t["text"])]
-                found += [("start", roles[0], 0)] if chunk == 0 and roles[0] is not None else []
-                for key in found:
-                    counts[key] = counts.get(key, 0) + 1
+                found = [(("change", a, b), 1) for a, b in zip(roles, roles[1:], strict=False) if a is not None and b is not None]
+                found += [(("show", r, s), t["n"]) for r, t in zip(roles, turns, strict=True) if r is not None for s in symbols(t["text"])]
+                found += [(("start", roles[0], 0), 1)] if chunk == 0 and roles[0] is not None else []
+                for key, n in found:
+                    counts[key] = counts.get(key, 0) + n
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array(counts.values(), pa.int64())], names=["kind", "a", "b", "n"])
 
     rows = chunked.select("chunk", "turns").mapInArrow(run, "kind string, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    return Model({(r["kind"], r["a"], r["b"]): r["n"] for r in rows.collect()})
+    counts = {(r["kind"], r["a"], r["b"]): r["n"] for r in rows.collect()}
+    # Changes over chunk borders: the last role of a chunk and the first one of the next.
+    ends = chunked.select(F.col("conv_id").alias("conv"), (F.col("chunk") + 1).alias("next"), F.element_at("turns", -1)["role"].alias("a"))
+    firsts = chunked.select("conv_id", "chunk", F.element_at("turns", 1)["role"].alias("b")).filter(F.col("chunk") > 0)
+    over = firsts.join(ends, (F.col("chunk") == F.col("next")) & F.col("conv_id").eqNullSafe(F.col("conv")))
+    for r in over.filter(F.col("a").isin(*ROLES) & F.col("b").isin(*ROLES)).groupBy("a", "b").agg(F.count("*").alias("n")).collect():
+        key = "change", place[r["a"]], place[r["b"]]
+        counts[key] = counts.get(key, 0) + r["n"]
+    return Model(counts)
 
 
 def _borders(chunked: DataFrame, model: Model) -> DataFrame:
@@ -182,15 +212,16 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text.strip()}\n<|end|>"
 
 
-def format_turns(turns: DataFrame, model: Model | None = None) -> DataFrame:
-    """``conv_id, turn, role, decoded_role, rendered`` for every distinct turn (``conv_id, turn, text, role``).
+def format_turns(turns: DataFrame, model: Model | None = None, repeats: bool = False) -> DataFrame:
+    """``conv_id, turn, role, decoded_role, rendered`` for every turn (``conv_id, turn, text, role``).
 
     ``role`` is only learned from: decoding sees the texts alone. ``model`` None fits one to the turns with a role.
     Null text is empty, null turn numbers come first, null conversation ids are one conversation, unknown roles are
-    taken as none, and turns that repeat in every column are one turn. Other columns are ignored.
+    taken as none. Turns that repeat in every column are decoded as one turn, and come back as one, or with ``repeats`` as
+    often as they occur. Other columns are ignored.
     """
     common.ship(turns.sparkSession)
-    chunked = chunks(turns)
+    chunked = chunks(turns, repeats)
     model = model or train(chunked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +232,14 @@ def format_turns(turns: DataFrame, model: Model | None = None) -> DataFrame:
                 for t, role in zip(turns, roles, strict=True):
                     text = t["text"] or ""
                     found = _MARKER.match(text)
-                    rows.append((conv, t["turn"], t["role"], ROLES[role], render(ROLES[role], text[found.end() :] if found else text)))
+                    rows.append((conv, t["turn"], t["role"], ROLES[role], render(ROLES[role], text[found.end() :] if found else text), t["n"]))
             cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "turn", "role", "decoded_role", "rendered"])
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "turn", "role", "decoded_role", "rendered", "n"])
 
     borders = common.stored(_borders(chunked, model))
     same = chunked["conv_id"].eqNullSafe(borders["conv_id"]) & chunked["chunk"].eqNullSafe(borders["chunk"])
     placed = chunked.join(borders, same).select(chunked["conv_id"], "turns", "before", "last")
-    return placed.mapInArrow(run, "conv_id long, turn long, role string, decoded_role string, rendered string")
+    decoded = placed.mapInArrow(run, "conv_id long, turn long, role string, decoded_role string, rendered string, n long")
+    names = ["conv_id", "turn", "role", "decoded_role", "rendered"]
+    return decoded.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(*names) if repeats else decoded.select(*names)

@@ -65,7 +65,7 @@ def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded role and canonical text of every turn."""
-    return chat.format_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.format_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), repeats=True)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,23 @@ def test_long_and_odd_conversations(spark):
     assert wrong.count() == 0 and chat.format_turns(df.limit(0)).count() == 0
 
 
+def test_every_turn_comes_back(spark):
+    """Repeats stay, chunks are bounded by position for null ids and repeated numbers, changes over borders count."""
+    rows = [(1, k, f"text {k}", ("user", "assistant")[k % 2]) for k in range(200)]
+    rows += [(None, 0, "be kind", "system")] * 300 + [(None, None, f"note {k}", "user") for k in range(200)] + [(None, 0, f"other {k}", None) for k in range(100)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")
+    out = chat.format_turns(df, repeats=True)
+    assert out.schema == chat.format_turns(df).schema
+    assert frames.by_row(out, "conv_id", "turn", "role") == sorted(((c, t, r) for c, t, _, r in rows), key=repr)
+    chunked = chat.chunks(df, repeats=True)
+    sizes = sorted(((r["conv_id"] is None, r["chunk"]), r["n"]) for r in chunked.selectExpr("conv_id", "chunk", "size(turns) as n").collect())
+    assert sizes == [((False, 0), 64), ((False, 1), 64), ((False, 2), 64), ((False, 3), 8), *(((True, k), 64) for k in range(4)), ((True, 4), 45)]
+    # User 100 times, each but the last of the conversation changed; 199 user turns after user in the null conversation.
+    whole = np.full((3, 3), 0.0) + [[0.1, 2.0, 0.5], [0.1, 0.3, 3.0], [0.1, 3.0, 0.3]]
+    whole[1, 2], whole[2, 1], whole[1, 1], whole[1, 0] = whole[1, 2] + 100, whole[2, 1] + 99, whole[1, 1] + 199, whole[1, 0] + 1
+    assert np.allclose(np.exp(chat.train(chunked).change), whole / whole.sum(1, keepdims=True))
+
+
 def test_chat_query(spark):
     source = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").distinct()
     found = queries.op8_chat_format(spark, SF)
