@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpanel.llm import chat, common, labelled, language_id, lattice, packing, quality_classifier, quality_rules, simhash, token_blocks, top_k, toxicity
+from fieldpanel.llm import chat, common, labelled, language_id, lattice, manifest, packing, quality_classifier, quality_rules, simhash, token_blocks, token_counts, top_k, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,9 +80,67 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_language_id, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_quality_classifier, op7_token_blocks, op8_chat_format, op9_simhash, op10_top_k)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more than 2,048 tokens."""
+    return token_counts.count(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 16 whitened components."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", whitening.whole_numbers(F.col("embedding")).alias("x"))
+    return whitening.whiten(vectors, components=16)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what a changed count of characters does to the root."""
+    docs = common.documents(spark, sf_dir)
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    rest = [F.col(c) for c in ("doc_id", "source", "lang")]
+    leaf = manifest.leaf(*rest, F.col("n_chars"), F.col("text"))
+    other = F.when(tampered, manifest.leaf(*rest, F.col("n_chars") + F.lit(1), F.col("text"))).otherwise(leaf)
+    rows = common.stored(docs.select("doc_id", "lang", leaf.alias("leaf"), other.alias("changed")))
+    proofs = manifest.Manifest(rows, "lang", "doc_id").proofs()
+    folded = manifest.folded(F.col("changed"), F.col("hashes"), F.col("sides"))
+    proof = F.sha2(manifest.siblings_text(F.col("hashes")).cast("binary"), 256)
+    found = proofs.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_ALL = (op1_packing, op2_language_id, op3_toxicity, op4_sentencepiece, op5_quality_rules, op6_quality_classifier, op7_token_blocks, op8_chat_format, op9_simhash, op10_top_k, op11_token_counts, op12_whitening, op13_manifest)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {
+    "op13_manifest": """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, crc, doc_id AS f1, source AS f2, lang AS f3, n_chars AS f4, text AS f5 FROM (SELECT *,
+    xor(list_reduce([CAST(4294967295 AS bigint)] || list_transform(string_split(CAST(doc_id AS varchar), ''), lambda x: CAST(ascii(x) AS bigint)),
+      lambda c, b: list_reduce([xor(c, b)] || CAST([0, 0, 0, 0, 0, 0, 0, 0] AS bigint[]), lambda s, k: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295) AS crc
+    FROM documents)),
+told AS (
+  SELECT doc_id, lang, crc % 7 = 0 AND f4 IS NOT NULL AS tampered, coalesce(strlen(CAST(f1 AS varchar)) || ':' || f1, '-') || coalesce(strlen(f2) || ':' || f2, '-') || coalesce(strlen(f3) || ':' || f3, '-') AS head,
+    coalesce(strlen(CAST(f4 AS varchar)) || ':' || f4, '-') AS told4, coalesce(strlen(CAST(f4 + 1 AS varchar)) || ':' || (f4 + 1), '-') AS more4, coalesce(strlen(f5) || ':' || f5, '-') AS tail FROM fields),
+leaves AS (SELECT doc_id, lang, sha256(head || told4 || tail) AS leaf, CASE WHEN tampered THEN sha256(head || more4 || tail) ELSE sha256(head || told4 || tail) END AS changed FROM told),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes AS (
+  SELECT lang, 0 AS level, i, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT lang, any_value(level) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, i // 2),
+tops AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, i, n, subroot AS h FROM tops
+  UNION ALL
+  SELECT any_value(level) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY i // 2),
+climb AS (
+  SELECT doc_id, lang, leaf, i AS own, 0 AS level, i, n, changed AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.leaf, c.own, c.level + 1, c.i // 2, (c.n + 1) // 2, CASE WHEN s.h IS NULL THEN sha256(c.h) WHEN s.i < c.i THEN sha256(s.h || c.h) ELSE sha256(c.h || s.h) END, c.proof || coalesce(s.h, '')
+  FROM climb c LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.i = xor(c.i, 1) WHERE c.n > 1),
+over AS (
+  SELECT c.doc_id, c.lang, c.leaf, c.own, t.subroot, 0 AS level, t.i, t.n, c.h, c.proof FROM climb c JOIN tops t ON t.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT o.doc_id, o.lang, o.leaf, o.own, o.subroot, o.level + 1, o.i // 2, (o.n + 1) // 2, CASE WHEN s.h IS NULL THEN sha256(o.h) WHEN s.i < o.i THEN sha256(s.h || o.h) ELSE sha256(o.h || s.h) END, o.proof || coalesce(s.h, '')
+  FROM over o LEFT JOIN upper s ON s.level = o.level AND s.i = xor(o.i, 1) WHERE o.n > 1)
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, over.h AS folded_root, over.h = u.h AS verified FROM over CROSS JOIN (SELECT h FROM upper WHERE n = 1) u WHERE over.n = 1""",
     "op10_top_k": """
 WITH v AS (
   SELECT vec_id, [CAST(floor(1024 * CAST(x AS double)) AS bigint) FOR x IN embedding] AS vector FROM embeddings
