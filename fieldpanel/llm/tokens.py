@@ -2,7 +2,7 @@
 
 A text is cut at white space where the tokenizer itself always cuts, so the ids of the parts joined are the ids of the
 text. Texts for which this isn't certain (other white space than single spaces and line ends, special tokens) are
-encoded as a whole.
+encoded as a whole. A special token that a text holds literally gets its special id, as in a plain call of the library.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Words whose ids a worker keeps; it starts anew beyond that, so memory is bounded and results don't depend on it.
+#: Words whose ids a worker keeps at most. Half as many make a generation; when it is full, words that the next one
+#: doesn't use are dropped with it. Memory is bounded and results don't depend on it.
 KEPT_WORDS = 1_200_000
+#: New words that are encoded in one run, with a special token between them.
+RUN_WORDS = 64
 
 #: White space other than the space and the line feed, and the controls that some libraries count as such.
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))) + "]")
@@ -30,11 +33,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Between two words, a special token ends one and starts the next like the border of a text.
+        plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.border = plain[0] if plain else None
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Where case makes no difference, ASCII words are kept in lower case alone.
         self.lowers = self._whole("AZ") == self._whole("az")
         self.line_end = b"" if drops_space else self._whole("\n")
@@ -57,16 +63,32 @@ class WordEncoder:
             return (text.lower() if self.lowers and text.isascii() else text).split()
         return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that no generation holds, many in one run."""
+        sources = words if self.drops_space else [w if w[:1] == "\n" else " " + w for w in words]
+        size = RUN_WORDS if self.border else 1
+        mark, text = self.border or (-1, "")
+        runs = [text.join(sources[at : at + size]) for at in range(0, len(sources), size)]
+        for first in range(0, len(runs), 512):
+            for k, found in enumerate(self.tokenizer.encode_batch_fast(runs[first : first + 512], add_special_tokens=False), first):
+                members = words[k * size : (k + 1) * size]
+                ids = np.array(found.ids, self.dtype)
+                raw, step = ids.tobytes(), self.dtype.itemsize
+                ends = [*(np.nonzero(ids == mark)[0].tolist() if size > 1 else []), len(ids)]
+                at = 0
+                for word, end in zip(members, ends, strict=True):
+                    self.kept[word] = raw[at * step : end * step]
+                    at = end + 1
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         parts = [self._words(t) if self._splits(t) else None for t in texts]
-        if len(self.kept) > KEPT_WORDS:
-            self.kept = {}
-        new = list({w for p in parts if p for w in p}.difference(self.kept))
-        sources = new if self.drops_space else [w if w[0] == "\n" else " " + w for w in new]
-        for at in range(0, len(new), 4096):
-            found = self.tokenizer.encode_batch_fast(sources[at : at + 4096], add_special_tokens=False)
-            for word, ids in zip(new[at : at + 4096], found, strict=True):
-                self.kept[word] = np.array(ids.ids, self.dtype).tobytes()
+        if len(self.kept) > KEPT_WORDS // 2:
+            self.kept, self.older = {}, self.kept
+        new = {w for p in parts if p for w in p}.difference(self.kept)
+        again = new.intersection(self.older) if len(new) < len(self.older) else self.older.keys() & new
+        for word in again:
+            self.kept[word] = self.older[word]
+        self._learn(list(new - again))
         get, skip = self.kept.__getitem__, len(self.line_end)
         return [self._whole(t) if p is None else b"".join(map(get, p))[skip:] for t, p in zip(texts, parts, strict=True)]
 

@@ -16,7 +16,6 @@ BYTE, WORD, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "
 
 def library_ids(path, texts, end):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, end] for t in texts]
 
 
