@@ -11,11 +11,9 @@ Meetings are handled as runs of a sorted stream, and a run emits a spanning fore
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 from functools import partial
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +23,6 @@ from pyspark.sql import functions as F
 from fieldpanel.llm import common
 from fieldpanel.llm.components import connected_components
 
-#: Minima of :func:`one_of_each`, standard deviations by which their share may fall short, rows of a block of a large key.
-BANDS, BAND_ROWS, MARGIN, BLOCK = 24, 4, 4.5, 1024
-
 #: Rows of a key that a task of :func:`links` compares at once; larger keys are dealt into blocks.
 RUN = 8192
 #: Runs up to this many rows are compared all at once, pair by pair; longer ones row block by row block.
@@ -36,7 +31,6 @@ _BLOCK_CELLS = 1 << 21
 _HASH_ROWS = 1 << 15
 #: Odd multiplier and increment (fixed values) that turn one hash into the further words of a long fingerprint.
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
-_SALTS = np.random.default_rng(5).integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64)
 
 
 def shingle_hashes(text: str, size: int, seed: int = 42) -> np.ndarray:
@@ -239,156 +233,17 @@ def members(marked: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def minhashes(hashes: np.ndarray) -> np.ndarray:
-    """``BANDS * BAND_ROWS`` minima of a shingle set under fixed hash functions; two sets share one with the chance of their Jaccard similarity."""
-    out = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), _HASH_ROWS >> 5):
-            part = hashes[at : at + (_HASH_ROWS >> 5)]
-            x = (part[None] ^ _SALTS[:, None]) * _MIX
-            out = np.minimum(out, ((x ^ (x >> np.uint64(29))) * _STEP).min(1))
-    return out
-
-
-def band_keys(minima: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of minima."""
-    keys = np.zeros(BANDS, np.uint64)
-    with np.errstate(over="ignore"):
-        for column in minima.reshape(BANDS, BAND_ROWS).T:
-            keys = _mixed((keys ^ column) * _MIX, 1)
-        return keys + np.arange(BANDS, dtype=np.uint64) * _STEP
-
-
-def shingle_set(text: str, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, size))
-
-
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minima (their last bytes) that rows share."""
-    return (a == b).sum(-1, dtype=np.int32)
-
-
-def _nominated(pairs: DataFrame, least: int) -> DataFrame:
-    """``a, b`` of ``a, b, sketch_a, sketch_b`` that share ``least`` minima or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, 4096):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(_alike(x, y) >= least))
-
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
-
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of :func:`near_duplicates`, with the columns of ``docs``: the row of the least id, null ids last.
 
-def _block_pairs(rows: DataFrame, least: int) -> DataFrame:
-    """``a, b``: pairs that share ``least`` minima or more, of the rows (``key, part, side, node, root, outside, sketch``) of a
-    part: side 0 with side 1, or, where a part has side 0 alone, with one another. Rows of one root don't pair."""
-
-    def same(batch: pa.RecordBatch) -> np.ndarray:
-        x = [batch.column(c).to_numpy() for c in ("key", "part")]
-        return np.concatenate([[False], (x[0][1:] == x[0][:-1]) & (x[1][1:] == x[1][:-1])])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.runs(batches, same):
-            flags = same(batch)
-            starts = np.append(np.nonzero(~flags)[0], len(flags))
-            side, node, root = (batch.column(c).to_numpy() for c in ("side", "node", "root"))
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(flags), -1)
-            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                cut = lo + int((side[lo:hi] == 0).sum())
-                for i in range(lo, cut):
-                    first = cut if cut < hi else i + 1
-                    near = first + np.nonzero((root[first:hi] != root[i]) & (_alike(sketch[first:hi], sketch[i]) >= least))[0]
-                    left.append(np.full(len(near), node[i]))
-                    right.append(node[near])
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(run, "a long, b long")
-
-
-def _left_over(met: DataFrame, rooted: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """``a, b``: nominated pairs under a key (``key, node, rep``) that are not yet of one component.
-
-    The rows of a key outside the component of its first one meet all others, in blocks of about ``BLOCK`` rows each, so a
-    task holds two blocks whatever the size of the key.
+    Null, empty and blank texts have one fingerprint and so are copies of each other, as are repeated rows.
     """
-    of = lambda name: rooted.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    placed = met.filter("node <> rep").join(of("node"), "node", "left").join(of("rep"), "rep", "left")
-    placed = placed.select("key", "node", F.coalesce("node_root", "node").alias("root"), F.coalesce("rep_root", "rep").alias("main")).withColumn("outside", F.expr("root <> main"))
-    placed = common.stored(placed)
-    sizes = placed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("outside").cast("long")).alias("k")).filter("k > 0 and m > 1")
-    rows = placed.join(sizes, "key").withColumn("p", F.ceil(F.col("k") / BLOCK)).withColumn("q", F.ceil((F.col("m") - F.col("k")) / BLOCK))
-    block = lambda n: F.pmod(F.xxhash64(F.lit(7), "node"), F.col(n))
-    rows = rows.withColumn("i", F.when(F.col("outside"), block("p")).otherwise(block("q")))
-    # Parts i * (p + q) + j: outside block i with outside block j >= i, or with block j - p of the main component.
-    out = F.transform(F.expr("sequence(0L, p + q - 1)"), lambda j: F.when(j < F.col("i"), F.struct((j * F.expr("p + q") + F.col("i")).alias("part"), F.lit(1).alias("side"))).otherwise(F.struct((F.col("i") * F.expr("p + q") + j).alias("part"), F.lit(0).alias("side"))))
-    main = F.transform(F.expr("sequence(0L, p - 1)"), lambda j: F.struct((j * F.expr("p + q") + F.col("p") + F.col("i")).alias("part"), F.lit(1).alias("side")))
-    dealt = rows.select("key", "node", "root", F.explode(F.when(F.col("outside"), out).otherwise(main)).alias("at")).select("key", "at.part", "at.side", "node", "root")
-    return _block_pairs(dealt.join(nodes.select("node", "sketch"), "node"), least).distinct()
-
-
-def _exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (``a, b``) whose shingle sets (``node, shingles``) have this Jaccard similarity or more."""
-    of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
-    shared = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), (F.size("of_a") + F.size("of_b")).alias("sum"))
-    return shared.filter(F.col("n") >= F.lit(float(similarity)) * (F.col("sum") - F.col("n"))).select("a", "b")
-
-
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near copies, with the columns of ``docs``: the row of the least id, null ids last.
-
-    Two texts are linked if the Jaccard similarity of their shingle sets is ``similarity`` or more. Pairs are looked up by
-    bands of minima of the sets (at 0.8 a pair shares none of them with a chance of 3 in a million, wherever the texts
-    differ), nominated by the share of equal minima, with ``MARGIN`` standard deviations to spare, and decided by the sets
-    themselves. Under each key all nodes first meet its least one; only those that this leaves in other components meet
-    the rest of the key, in blocks. Null and empty texts are copies of each other, and so are repeated rows.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            sets = [shingle_set(t, shingle) for t in common.texts(batch)]
-            minima = [minhashes(x) for x in sets]
-            keys = [band_keys(m).view(np.int64).tolist() if len(x) else [] for m, x in zip(minima, sets, strict=True)]
-            sketch = [m.astype(np.uint8).tobytes() for m in minima]
-            marks = [blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-            columns = [batch.column("row"), batch.column("doc_id"), pa.array(marks, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "size", "keys", "sketch"])
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            sets = [shingle_set(t, shingle).view(np.int64) for t in common.texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
     row = f"_row_{uuid.uuid4().hex}"
     numbered = common.stored(docs.withColumn(row, F.monotonically_increasing_id()))
-    wanted = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = common.stored(wanted.mapInArrow(run, "row long, doc_id long, mark binary, size long, keys array<long>, sketch binary"))
-    # Equal sets are one node, and of its rows the first one by id can stay.
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "row")).alias("first")
-    nodes = common.stored(marked.groupBy("mark", "size", "keys", "sketch").agg(first).select(F.monotonically_increasing_id().alias("node"), "size", "keys", "sketch", "first"))
-    entries = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = common.stored(entries.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("key", "rep"))
-    met = common.stored(entries.join(shared, "key"))
-    rows = BANDS * BAND_ROWS
-    least = max(1, math.floor(rows * similarity - MARGIN * math.sqrt(rows * similarity * (1 - similarity))))
-    of = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"))
-    stars = met.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = common.stored(_nominated(stars.join(of("b"), "b").join(of("a"), "a"), least))
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        at = nodes.join(asked, "node").select("node", F.col("first.row").alias("row"))
-        sets = wanted.join(at, "row").select("node", "text").mapInArrow(sets_of, "node long, shingles array<long>")
-        return common.stored(_exact(pairs, common.stored(sets), similarity))
-
-    found = decided(pairs)
-    more = common.stored(_left_over(met, common.stored(connected_components(found)), nodes, least))
-    if not more.isEmpty():
-        found = found.unionByName(decided(more))
-    rooted = nodes.select("node", "first").join(connected_components(found), "node", "left")
-    stays = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    found = near_duplicates(numbered, shingle, radius, row, text_col).select(F.col("doc_id").alias("row"), "component_id")
+    ids = numbered.select(F.col(row).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"))
+    placed = common.stored(found.join(ids, "row"))
+    stays = placed.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
     # The rows that go are named, not those that stay: mostly they are few, and then Spark broadcasts their stored file.
-    gone = common.stored(marked.select("row").join(stays.select("first.row"), "row", "left_anti"))
+    gone = common.stored(placed.select("row").join(stays, "row", "left_anti"))
     return numbered.join(gone.withColumnRenamed("row", row), row, "left_anti").select(*docs.columns)
