@@ -34,9 +34,9 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose shingles of five words are similar to 0.8 or more."""
+    """One document of each group whose fingerprints of three-word shingles link at three bits or fewer."""
     common.ship(spark)
-    return simhash.one_of_each(docs, similarity=0.8, shingle=5)
+    return simhash.one_of_each(docs, shingle=3, radius=3)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
