@@ -113,10 +113,23 @@ def test_long_clean_texts_stay(spark, corpus):
     assert frames.ids_of(toxicity.keep(long, model)) == [(True, k) for k in range(3)]
 
 
-def test_noisy_or():
-    logits = np.array([0.3, -2.0, 1.1, -np.inf])
-    p = 1 / (1 + np.exp(-logits))
-    assert abs(toxicity.noisy_or(logits) - (1 - np.prod(1 - p))) < 1e-12 and toxicity.noisy_or(np.empty(0)) == 0
+def test_score_by_hand():
+    """Base chance and sentences multiply as chances to be clean; a sentence below the margin changes nothing."""
+    model = toxicity.Model(np.zeros(1), -6.0, -3.0)
+    chance = lambda x: 1 / (1 + np.exp(-x))
+    assert toxicity.score_of(np.array([]), model) == toxicity.score_of(np.array([-np.inf]), model) == 0
+    for logits in ([-6.0, -3.5], [0.3, -2.0, 1.1, -np.inf, -6.0]):
+        clean = 1 - chance(-3.0)
+        for x in logits:
+            clean *= min(1.0, (1 - chance(x)) / (1 - chance(-6.0 + toxicity.MARGIN)))
+        assert toxicity.score_of(np.array(logits), model) == pytest.approx(1 - clean, abs=1e-12)
+
+
+def test_doubts_far_apart_add_up():
+    """Two doubtful sentences make a text toxic however many clean ones lie between them."""
+    model = toxicity.Model(np.zeros(1), -9.0, -6.0)
+    scores = [toxicity.score_of(np.concatenate([[0.35], np.full(n, -9.0), [0.35]]), model) for n in (0, 998, 999, 200_000)]
+    assert scores[0] > 0.8 and scores == [pytest.approx(scores[0])] * 4
 
 
 def test_language(spark, corpus):
