@@ -14,7 +14,7 @@ import numpy as np
 
 #: Words whose ids a worker keeps at most. Half as many make a generation; when it is full, words that the next one
 #: doesn't use are dropped with it. Memory is bounded and results don't depend on it.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 300_000
 #: New words that are encoded in one run, with a special token between them.
 RUN_WORDS = 64
 
@@ -39,6 +39,12 @@ class WordEncoder:
         # Between two words, a special token ends one and starts the next like the border of a text.
         plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.border = plain[0] if plain else None
+        suffix = self.tokenizer.model.end_of_word_suffix if drops_space else None
+        #: Per id, whether it ends a word; None if ids don't show it.
+        self.ending = None
+        if suffix:
+            self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ending[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # Where case makes no difference, ASCII words are kept in lower case alone.
@@ -64,16 +70,49 @@ class WordEncoder:
         return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words that no generation holds, many in one run."""
-        sources = words if self.drops_space else [w if w[:1] == "\n" else " " + w for w in words]
-        size = RUN_WORDS if self.border else 1
-        mark, text = self.border or (-1, "")
+        """Encode words that no generation holds, many in one run.
+
+        With white space dropped, a word of letters alone is one piece, whose last id shows the end of a word; that
+        cuts runs of such words without anything between them. Other words have a special token between them.
+        """
+        if self.ending is None:
+            sources = words if self.drops_space else [w if w[:1] == "\n" else " " + w for w in words]
+            self._learn_runs(words, sources, self.border)
+            return
+        letters = [w for w in words if w.isalpha()]
+        wrong = self._learn_letters(letters)
+        others = [w for w in words if not w.isalpha()] + wrong
+        self._learn_runs(others, others, self.border)
+
+    def _learn_letters(self, words: list[str]) -> list[str]:
+        """Words of letters; returns those of runs that have not as many ends as words."""
+        wrong: list[str] = []
+        step = self.dtype.itemsize
+        runs = [words[at : at + RUN_WORDS] for at in range(0, len(words), RUN_WORDS)]
+        for first in range(0, len(runs), 512):
+            members = runs[first : first + 512]
+            for run, found in zip(members, self.tokenizer.encode_batch_fast([" ".join(r) for r in members], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, self.dtype)
+                ends = ((np.nonzero(self.ending[ids])[0] + 1) * step).tolist()
+                if len(ends) != len(run):
+                    wrong += run
+                    continue
+                raw, at = ids.tobytes(), 0
+                for word, end in zip(run, ends, strict=True):
+                    self.kept[word] = raw[at:end]
+                    at = end
+        return wrong
+
+    def _learn_runs(self, words: list[str], sources: list[str], border: tuple[int, str] | None) -> None:
+        size = RUN_WORDS if border else 1
+        mark, text = border or (-1, "")
+        step = self.dtype.itemsize
         runs = [text.join(sources[at : at + size]) for at in range(0, len(sources), size)]
         for first in range(0, len(runs), 512):
             for k, found in enumerate(self.tokenizer.encode_batch_fast(runs[first : first + 512], add_special_tokens=False), first):
                 members = words[k * size : (k + 1) * size]
                 ids = np.array(found.ids, self.dtype)
-                raw, step = ids.tobytes(), self.dtype.itemsize
+                raw = ids.tobytes()
                 ends = [*(np.nonzero(ids == mark)[0].tolist() if size > 1 else []), len(ids)]
                 at = 0
                 for word, end in zip(members, ends, strict=True):
