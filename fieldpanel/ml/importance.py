@@ -7,14 +7,12 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldpanel.ml.evaluate import score_expression
@@ -71,71 +69,53 @@ def permutation_summary(scores: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class TreeTables:
-    """Contribution of every leaf of every tree, and the value at the roots."""
+def leaf_paths(model: Any, size: int) -> DataFrame:
+    """Stored ``tree, leaf, value, phi``: contributions of the features on the way to every leaf, as a table.
 
-    leaves: list[np.ndarray]  # per tree: leaves in pre-order x features
-    base: float
-
-
-def tree_tables(model: Any, size: int) -> TreeTables:
-    """Path contributions of a fitted tree ensemble.
-
-    On the way from the root to a leaf every split credits its feature with the change of the node value: the
-    probability of class 0 in a forest, the margin of class 1 in boosting. The node table is read from the saved
-    model; its size depends on the model, not on the data.
+    On the way from the root to a leaf every split credits its feature with the change of the node value: the probability
+    of class 0 in a forest, the margin of class 1 in boosting. Nodes are read from the saved model. Every node knows its
+    parent; in each round it adds what its ancestor has gathered and takes over that one's ancestor, so the rounds grow
+    with the logarithm of the depth. ``leaf`` counts from the left, as Spark's own leaf column does, and ``value`` is the
+    one at the tree's root.
     """
     spark = SparkSession.active()
     path = scratch_dir(spark)
     model.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").toPandas()
+    saved = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
     boosted = isinstance(model, GBTClassificationModel)
-    tree_weights = list(model.treeWeights) if boosted else [1.0 / model.getNumTrees] * model.getNumTrees
-    leaves, base = [], 0.0
-    for tree, part in nodes.sort_values("id").groupby("treeID"):
-        table = part.set_index("id")
-        scale = 2.0 * tree_weights[tree] if boosted else tree_weights[tree]
-        if boosted:
-            value = table["prediction"] * scale
-        else:
-            value = table["impurityStats"].map(lambda s: s[0] / sum(s)) * scale
-        base += value[0]
-        found, stack = [], [(0, np.zeros(size))]
-        while stack:
-            node, phi = stack.pop()
-            left, right = table.at[node, "leftChild"], table.at[node, "rightChild"]
-            if left < 0:
-                found.append(phi)
-                continue
-            feature = table.at[node, "split"]["featureIndex"]
-            for child in (right, left):  # the left side is taken from the stack first
-                step = phi.copy()
-                step[feature] += value[child] - value[node]
-                stack.append((child, step))
-        leaves.append(np.array(found))
-    return TreeTables(leaves, float(base))
+    weights = [2.0 * w for w in model.treeWeights] if boosted else [1.0 / model.getNumTrees] * model.getNumTrees
+    scale = spark.createDataFrame(list(enumerate(map(float, weights))), "tree int, scale double")
+    raw = F.col("prediction") if boosted else F.col("impurityStats")[0] / F.aggregate("impurityStats", F.lit(0.0), lambda a, x: a + x)
+    nodes = materialise(saved.join(scale, "tree").select("tree", "id", (raw * F.col("scale")).alias("value"), "leftChild", "rightChild", F.col("split.featureIndex").alias("feature")))
+    sides = F.explode(F.array(F.struct(F.col("leftChild").alias("id"), F.lit("0").alias("side")), F.struct(F.col("rightChild").alias("id"), F.lit("1").alias("side"))))
+    parents = nodes.filter("leftChild >= 0").select("tree", F.col("id").alias("up"), F.col("value").alias("before"), "feature", sides.alias("child")).select("tree", "up", "before", "feature", "child.*")
+    hung = nodes.select("tree", "id", "value", (F.col("leftChild") < 0).alias("is_leaf")).join(parents, ["tree", "id"], "left")
+    step = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.when(j == F.col("feature"), F.col("value") - F.col("before")).otherwise(0.0))
+    # ``path`` is the way down from ``up`` to the node; the root has no ``up``.
+    way = materialise(hung.select("tree", "id", "is_leaf", "up", step.alias("phi"), F.coalesce("side", F.lit("")).alias("path"), F.when(F.col("up").isNull(), F.col("value")).alias("top")))
+    while not way.filter(F.col("up").isNotNull()).isEmpty():
+        over = way.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("phi").alias("phi_up"), F.col("path").alias("path_up"), F.col("top").alias("top_up"))
+        joined = way.join(over, ["tree", "up"], "left")
+        added = F.when(F.col("phi_up").isNull(), F.col("phi")).otherwise(F.zip_with("phi", "phi_up", lambda a, b: a + b))
+        way = materialise(joined.select("tree", "id", "is_leaf", F.col("next").alias("up"), added.alias("phi"), F.concat(F.coalesce("path_up", F.lit("")), "path").alias("path"), F.coalesce("top", "top_up").alias("top")))
+    order = Window.partitionBy("tree").orderBy("path")
+    return materialise(way.filter("is_leaf").select("tree", (F.row_number().over(order) - 1).cast("int").alias("leaf"), F.col("top").alias("value"), "phi"))
 
 
 def tree_contributions(model: Any, prepared: DataFrame, size: int, features: str = "features") -> DataFrame:
     """Add ``phi`` (array by feature) and ``base``; their sum is the explained value of the row.
 
-    Spark finds the leaf of each tree; a vectorised function then sums the leaf contributions.
+    Spark finds the leaf of each tree. Rows meet the paths of their leaves in a join, whose kind Spark picks by the size of
+    the stored paths, and are summed by row; no node reaches the driver, and nothing is broadcast unchecked.
     """
-    tables = tree_tables(model, size)
-    shared = prepared.sparkSession.sparkContext.broadcast(tables.leaves)
-
-    @F.pandas_udf("array<double>")
-    def lookup(leaf: pd.Series) -> pd.Series:
-        if leaf.empty:
-            return pd.Series([], dtype=object)
-        index = np.stack(leaf.to_numpy()).astype(int)
-        total = sum(table[index[:, t]] for t, table in enumerate(shared.value))
-        return pd.Series(list(total))
-
-    placed = model.copy({model.leafCol: "_leaf"}).transform(prepared)
-    phi = lookup(vector_to_array(F.col("_leaf")))
-    return placed.select(*prepared.columns, phi.alias("phi"), F.lit(tables.base).alias("base"))
+    paths = leaf_paths(model, size)
+    rows = materialise(prepared.withColumn("_row", F.monotonically_increasing_id()))
+    placed = model.copy({model.leafCol: "_leaf"}).transform(rows.select("_row", features))
+    each = placed.select("_row", F.posexplode(vector_to_array(F.col("_leaf"))).alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
+    # Partial sums by row are made before the shuffle wherever the join leaves a row's trees together.
+    summed = each.join(paths, ["tree", "leaf"]).groupBy("_row").agg(*[F.sum(F.col("phi")[j]).alias(f"p{j}") for j in range(size)], F.sum("value").alias("base"))
+    found = summed.select("_row", F.array(*[F.col(f"p{j}") for j in range(size)]).alias("phi"), "base")
+    return rows.join(found, "_row").select(*prepared.columns, "phi", "base")
 
 
 def linear_phi(model: LogisticRegressionModel, prepared: DataFrame, features: str = "features") -> DataFrame:

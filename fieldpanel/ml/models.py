@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldpanel.ml.boosting import BoostedTrees
+from fieldpanel.ml.deep_forest import DeepForest
 from fieldpanel.ml.prep import LABEL, SCALED, Prep
 from fieldpanel.operators.metrics import rate
 from fieldpanel.operators.split import add_class_weights
 
 LR, RF, GBT = "logistic_regression", "random_forest", "gradient_boosting"
-MAX_TREE_DEPTH = 30  # the deepest tree Spark grows
+MAX_TREE_DEPTH = 30  # the deepest tree that Spark's own forest grows
 
 
 @dataclass(frozen=True)
@@ -87,13 +89,10 @@ BUILDERS = {LR: build_logistic_regression, RF: build_random_forest, GBT: build_g
 def estimator(kind: str, params: dict[str, Any], seed: int, total_weight: float) -> Estimator:
     """The Spark estimator for familiar hyperparameter names.
 
-    The linear penalty is given per sample in Spark, hence ``1 / (C * total weight)``. Boosting here has no L1
-    or L2 leaf penalty, so ``reg_alpha`` and ``reg_lambda`` are refused; ``gamma`` is the gain a split must reach.
-    Trees deeper than Spark grows them, and trees without limit (``max_depth=None``), are refused too.
+    The linear penalty is given per sample in Spark, hence ``1 / (C * total weight)``. Forests without a depth limit
+    (``max_depth=None``, the default) are grown by :class:`DeepForest`, others by Spark up to its own limit. Boosting is
+    :class:`BoostedTrees`, with L1 and L2 penalties on the leaves.
     """
-    depth = params.get("max_depth", 1)
-    if kind in (RF, GBT) and (depth is None or depth > MAX_TREE_DEPTH):
-        raise ValueError(f"max_depth must be {MAX_TREE_DEPTH} or less, got {depth}")
     known = {"n_jobs", "class_weight", "eval_metric"}
     common = {"featuresCol": "features", "labelCol": LABEL, "weightCol": "weight"}
     p = {k: v for k, v in params.items() if k not in known}
@@ -111,28 +110,27 @@ def estimator(kind: str, params: dict[str, Any], seed: int, total_weight: float)
             **common,
         )
     elif kind == RF:
-        criterion = p.pop("criterion", "gini")
-        subset = p.pop("max_features", "sqrt")
-        made = RandomForestClassifier(
-            numTrees=p.pop("n_estimators", 100),
-            maxDepth=p.pop("max_depth", MAX_TREE_DEPTH),
-            impurity="gini" if criterion == "gini" else "entropy",
-            featureSubsetStrategy="all" if subset is None else str(subset),
-            bootstrap=p.pop("bootstrap", True),
-            minInstancesPerNode=p.pop("min_samples_leaf", 1),
-            seed=seed,
-            **common,
-        )
+        criterion, subset = p.pop("criterion", "gini"), p.pop("max_features", "sqrt")
+        trees, depth = p.pop("n_estimators", 100), p.pop("max_depth", None)
+        bootstrap, least = p.pop("bootstrap", True), p.pop("min_samples_leaf", 1)
+        if depth is None:
+            made = DeepForest(trees, criterion, subset, bootstrap, least, seed=seed)
+        elif 0 <= depth <= MAX_TREE_DEPTH:
+            made = RandomForestClassifier(
+                numTrees=trees,
+                maxDepth=depth,
+                impurity="gini" if criterion == "gini" else "entropy",
+                featureSubsetStrategy="all" if subset is None else str(subset),
+                bootstrap=bootstrap,
+                minInstancesPerNode=least,
+                seed=seed,
+                **common,
+            )
+        else:
+            raise ValueError(f"max_depth must be None or from 0 to {MAX_TREE_DEPTH}, got {depth}")
     elif kind == GBT:
-        made = GBTClassifier(
-            maxIter=p.pop("n_estimators", 100),
-            stepSize=p.pop("learning_rate", 0.3),
-            maxDepth=p.pop("max_depth", 6),
-            subsamplingRate=p.pop("subsample", 1.0),
-            minInfoGain=p.pop("gamma", 0.0),
-            seed=seed,
-            **common,
-        )
+        names = {f.name for f in fields(BoostedTrees)} - {"features", "losses", "best_round", "seed"}
+        made = BoostedTrees(**{name: p.pop(name) for name in sorted(names & set(p))}, seed=seed)
     else:
         raise ValueError(f"kind must be one of {sorted(BUILDERS)}, got {kind}")
     if p:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldpanel.functions.scalar import log_days, record_key, seasonal_cosine, zscore
 from fieldpanel.operators.match import day_number
+from fieldpanel.operators.moments import moment_state, stats_of_state
 from fieldpanel.operators.reshape import add_one_hot
 from fieldpanel.schemas import INDEX_COLS, PIXEL_KEY, RECORD_KEY, TASSELED_CAP, TYPE_LEVELS
 
@@ -83,19 +84,8 @@ def normalisation_stats(
     survey_cols: Sequence[str] = ("Density",),
 ) -> DataFrame:
     """One row ``mean, std`` of maps by column; each column over its own population, sample deviation."""
-
-    def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-        return df.agg(
-            *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]
-        )
-
-    cols = [*observed_cols, *survey_cols]
-
-    def as_map(prefix: str):
-        return F.create_map(*[x for c in cols for x in (F.lit(c), F.col(f"{prefix}_{c}"))])
-
-    row = moments(observations, observed_cols).crossJoin(moments(surveys, survey_cols))
-    return row.select(as_map("m").alias("mean"), as_map("s").alias("std"))
+    states = moment_state(observations, observed_cols).unionByName(moment_state(surveys, survey_cols))
+    return stats_of_state(states)
 
 
 def apply_stats(df: DataFrame, stats: DataFrame, columns: Sequence[str], zero_std: str = "null") -> DataFrame:

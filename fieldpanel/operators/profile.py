@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldpanel.operators.clean import all_between, all_present
+from fieldpanel.operators.moments import co_moments, correlation_of, merge_co_moments
 from fieldpanel.operators.reshape import unpivot_repeated
 from fieldpanel.schemas import AGES, AGRICULTURAL_USES, BOUNDED_INDICES, INDEX_COLS, RATE_COLS
 
@@ -101,10 +102,12 @@ def group_numeric_mean(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
-    """(by, left, right, corr): all pairs in one pass."""
-    wide = df.groupBy(*by).agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    entries = [
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(*by, F.inline(F.array(*entries)))
+    """(by, left, right, corr): all pairs in one pass, by co-moments that tasks sum up and Spark merges."""
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    found = correlation_of(merge_co_moments(co_moments(df, cols, by), by), cols, by)
+    place = {c: k for k, c in enumerate(cols)}
+    # States hold each pair once, in the order of the columns.
+    turned = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.lit(cols[min(place[a], place[b])]).alias("_a"), F.lit(cols[max(place[a], place[b])]).alias("_b")) for a, b in pairs])
+    asked = df.sparkSession.range(1).select(F.inline(turned))
+    named = found.select(*by, F.col("left").alias("_a"), F.col("right").alias("_b"), "corr")
+    return named.join(F.broadcast(asked), ["_a", "_b"]).select(*by, "left", "right", "corr")

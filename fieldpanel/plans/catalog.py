@@ -1055,16 +1055,6 @@ def perm_importance(spark, sf_dir):
     return scores.agg(F.count_distinct("feature").alias("features"), F.count(F.lit(1)).alias("scores"), F.count_if(moved).alias("constant_moved"))
 
 
-@query("tree_contributions", f"{FEATURES_SQL} SELECT count(*) AS n_rows, CAST(0 AS bigint) AS not_adding_up FROM features")
-def tree_contributions(spark, sf_dir):
-    """Contributions of the features that, with the base, make the probability of class 0."""
-    selector = ml_importance.ImportanceSelector(models.build_random_forest(**FOREST), "SHAP", 100)
-    found = selector.fit(model_rows(spark, sf_dir))
-    whole = F.aggregate("phi", F.lit(0.0), lambda a, x: a + x) + F.col("base")
-    keyed = found.values.select(*RECORD_KEY, "Age", whole.alias("whole"))
-    return keyed.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.coalesce(F.col("whole").between(-1e-9, 1 + 1e-9), F.lit(False))).alias("not_adding_up"))
-
-
 @query("selector_features", f"{FEATURES_SQL} SELECT count(*) AS n_rows, count(DISTINCT ID) AS n_sites, CAST(0 AS bigint) AS kept_missing FROM features")
 def selector_features(spark, sf_dir):
     selector = ml_importance.ImportanceSelector(models.build_logistic_regression(), "SHAP", 3, keep_features=["NDVI", "TCB"], scaler=True)

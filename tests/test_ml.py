@@ -65,15 +65,17 @@ def test_builder_arguments(build):
 
 
 def test_parameters_reach_the_estimators():
-    forest = models.estimator(models.RF, {"n_estimators": 7, "criterion": "log_loss", "max_features": None, "bootstrap": False}, 1, 1.0)
+    forest = models.estimator(models.RF, {"n_estimators": 7, "max_depth": 4, "criterion": "log_loss", "max_features": None, "bootstrap": False}, 1, 1.0)
     assert (forest.getNumTrees(), forest.getImpurity(), forest.getFeatureSubsetStrategy(), forest.getBootstrap()) == (7, "entropy", "all", False)
-    boosted = models.estimator(models.GBT, {"learning_rate": 0.05, "max_depth": 2, "n_estimators": 9}, 1, 1.0)
-    assert (boosted.getStepSize(), boosted.getMaxDepth(), boosted.getMaxIter()) == (0.05, 2, 9)
+    deep = models.estimator(models.RF, {"n_estimators": 7, "criterion": "log_loss", "max_features": None, "bootstrap": False, "min_samples_leaf": 2}, 5, 1.0)
+    assert (deep.n_estimators, deep.criterion, deep.max_features, deep.bootstrap, deep.min_samples_leaf, deep.seed) == (7, "log_loss", None, False, 2, 5)
+    asked = {"learning_rate": 0.05, "max_depth": 2, "n_estimators": 9, "reg_alpha": 0.5, "reg_lambda": 3.0, "gamma": 0.1, "subsample": 0.8}
+    boosted = models.estimator(models.GBT, asked, 1, 1.0)
+    assert {k: getattr(boosted, k) for k in asked} == asked
     linear = models.estimator(models.LR, {"C": 0.5, "penalty": "l1"}, 1, 100.0)
     assert linear.getRegParam() == pytest.approx(0.02) and linear.getElasticNetParam() == 1.0
     assert models.estimator(models.LR, {"penalty": None}, 1, 100.0).getRegParam() == 0.0
-    assert models.estimator(models.RF, {}, 1, 1.0).getMaxDepth() == 30
-    refused = [(models.RF, {"colour": 1}), (models.RF, {"max_depth": 31}), (models.RF, {"max_depth": None}), (models.GBT, {"max_depth": 40}), (models.GBT, {"reg_alpha": 1.0}), (models.GBT, {"reg_lambda": 1.0})]
+    refused = [(models.RF, {"colour": 1}), (models.RF, {"max_depth": 31}), (models.GBT, {"max_depth": 40}), (models.GBT, {"reg_alpha": -1.0}), (models.GBT, {"subsample": 0.0}), (models.GBT, {"losses": None})]
     for kind, params in refused:
         with pytest.raises(ValueError):
             models.estimator(kind, params, 1, 1.0)
