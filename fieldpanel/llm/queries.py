@@ -77,7 +77,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of all other vectors for every hundredth id."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", top_k.whole_numbers(F.col("embedding")).alias("vector"))
-    return top_k.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+    return top_k.search(vectors, F.col("vec_id") % 100 == 0, k=10)
 
 
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,12 +142,12 @@ over AS (
   FROM over o LEFT JOIN upper s ON s.level = o.level AND s.i = xor(o.i, 1) WHERE o.n > 1)
 SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, over.h AS folded_root, over.h = u.h AS verified FROM over CROSS JOIN (SELECT h FROM upper WHERE n = 1) u WHERE over.n = 1""",
     "op10_top_k": """
-WITH v AS (
-  SELECT vec_id, [CAST(floor(1024 * CAST(x AS double)) AS bigint) FOR x IN embedding] AS vector FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(1024 * CAST(x AS double)) AS bigint) FOR x IN embedding] AS vector FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.vector, c.vector)]) AS bigint) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT q.r AS query, q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.vector, c.vector)]) AS bigint) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.r <> q.r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS int) AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
 }

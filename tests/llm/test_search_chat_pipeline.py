@@ -15,38 +15,41 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute(rows, asked, k):
+    """Every row but the query's own, by place; rows are (id, vector)."""
     out = []
-    for q, v in asked:
-        scored = sorted((-int(np.dot(v, w)), i) for i, w in rows if i != q)
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    for q in asked:
+        scored = sorted((-int(np.dot(rows[q][1], w)), i) for n, (i, w) in enumerate(rows) if n != q)
+        out += [(rows[q][0], n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
 @pytest.mark.parametrize("shard", [8192, 40])
-def test_search_with_ties(spark, monkeypatch, shard):
+def test_search_with_ties_and_repeated_ids(spark, monkeypatch, shard):
     monkeypatch.setattr(top_k, "SHARD", shard)
     monkeypatch.setattr(top_k, "BLOCK", 7)
     rng = np.random.default_rng(1)
     vectors = [rng.integers(-3, 4, 5).tolist() for _ in range(200)]
     vectors[20:120] = [[2, -1, 0, 1, 3]] * 100  # many copies of one vector
     vectors[5] = [0] * 5
-    rows = list(enumerate(vectors))
-    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows] + [(7, vectors[7], 2, "y"), (None, vectors[1], 0, None), (900, None, 0, None), (901, [1, None, 1, 1, 1], 0, None)], "vec_id long, vector array<long>, rank int, score string")
-    found = top_k.search(df, df.filter("vec_id % 5 = 0"), 10)
-    assert sorted(map(tuple, found.collect())) == brute(rows, [r for r in rows if r[0] % 5 == 0], 10)
+    rows = [*enumerate(vectors), (7, [9, 9, 9, 9, 9]), (10, vectors[10]), (10, [-3, 3, 0, 0, 1]), (199, vectors[199])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows] + [(None, vectors[1], 0, None), (900, None, 0, None), (905, [1, None, 1, 1, 1], 0, None)], "vec_id long, vector array<long>, rank int, score string")
+    found = top_k.search(df, F.col("vec_id") % 5 == 0, 10)
+    assert sorted(map(tuple, found.collect())) == brute(rows, [n for n, r in enumerate(rows) if r[0] % 5 == 0], 10)
 
 
 def test_search_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1, 2]), (1, [3, 4])], "vec_id long, vector array<long>")
-    assert sorted(map(tuple, top_k.search(df, df, 10).collect())) == [(0, 1, 1, 11), (1, 1, 0, 11)]
-    assert top_k.search(df.limit(0), df, 10).count() == 0 and top_k.search(df, df.limit(0), 10).count() == 0
+    assert sorted(map(tuple, top_k.search(df, F.lit(True), 10).collect())) == [(0, 1, 1, 11), (1, 1, 0, 11)]
+    assert top_k.search(df.limit(0), F.lit(True), 10).count() == 0 and top_k.search(df, F.lit(None).cast("boolean"), 10).count() == 0
+    mixed = spark.createDataFrame([(0, [1, 2]), (1, [3, 4]), (2, [5]), (3, [6]), (4, [])], "vec_id long, vector array<long>")
+    assert sorted(map(tuple, top_k.search(mixed, F.lit(True), 10).collect())) == [(0, 1, 1, 11), (1, 1, 0, 11), (2, 1, 3, 30), (3, 1, 2, 30)]
 
 
 def test_lists_stop_early():
     """The bound ends the search before all vectors are met, and nothing is lost."""
     rng = np.random.default_rng(0)
     vectors = rng.integers(-1000, 1000, (5000, 3))
-    lists = top_k.Lists(np.arange(5000), vectors, 10)
+    lists = top_k.Lists(np.arange(5000), np.arange(5000), vectors, 10)
     for query in rng.integers(-1000, 1000, (20, 3)):
         ids, scores = lists.search(query, -1, 10, -np.inf)
         order = np.lexsort((np.arange(5000), -(vectors @ query)))[:10]
