@@ -123,7 +123,7 @@ def split_transcripts(transcripts: DataFrame, id_col: str = "conv_id", text_col:
     return transcripts.select(F.col(id_col).alias("conv_id"), parts).select("conv_id", F.col("turn").cast("long").alias("turn"), "text", F.lit(None).cast("string").alias("role"))
 
 
-def chunks(turns: DataFrame, repeats: bool = False) -> DataFrame:
+def chunks(turns: DataFrame, repeats: bool = True) -> DataFrame:
     """Stored ``conv_id, chunk, turns``: the different turns of each chunk in the order of number, text and role.
 
     Chunks are cut by position, so none holds more than ``CHUNK`` turns, whatever their numbers. Equal turns are counted
@@ -212,7 +212,7 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text.strip()}\n<|end|>"
 
 
-def format_turns(turns: DataFrame, model: Model | None = None, repeats: bool = False) -> DataFrame:
+def format_turns(turns: DataFrame, model: Model | None = None, repeats: bool = True) -> DataFrame:
     """``conv_id, turn, role, decoded_role, rendered`` for every turn (``conv_id, turn, text, role``).
 
     ``role`` is only learned from: decoding sees the texts alone. ``model`` None fits one to the turns with a role.

@@ -100,8 +100,8 @@ def test_long_and_odd_conversations(spark):
     rows = [(1, k, f"User: question {k}?" if k % 2 == 0 else f"Assistant: reply {k}", None) for k in range(500)]
     rows += [rows[3]] * 50 + [(2, None, None, None), (2, 0, "", "narrator"), (None, 0, "hi", "user"), (None, None, "ho", None)]
     df = spark.createDataFrame([(*r, "rendered") for r in rows], "conv_id long, turn long, text string, role string, rendered string")
-    found = chat.format_turns(df)
-    assert found.count() == len(set(rows))
+    found = chat.format_turns(df, repeats=False)
+    assert found.count() == len(set(rows)) and chat.format_turns(df).count() == len(rows)
     wrong = found.filter("conv_id = 1 and decoded_role <> if(turn % 2 = 0, 'user', 'assistant')")
     assert wrong.count() == 0 and chat.format_turns(df.limit(0)).count() == 0
 
