@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from fieldpanel.ml import importance, kernels, models, recurrent
 from fieldpanel.ml.boosting import BoostedTrees
 from fieldpanel.ml.deep_forest import DeepForest
-from fieldpanel.operators import moments
+from fieldpanel.operators import moments, sketches
 from fieldpanel.operators.importance import early_stop
+from fieldpanel.sources import sequence_store
 from fieldpanel.sources.io import materialise
 
 
@@ -304,3 +305,33 @@ def test_co_moments_give_pairwise_correlations(spark):
                         assert value is None
                     else:
                         assert value == pytest.approx(np.corrcoef(part[both, i], part[both, j])[0, 1], abs=1e-9)
+
+
+# --- sketches and the sequence store ---
+
+
+def test_merged_sketches_stay_within_their_bound(spark):
+    df = spark.range(40_000).select((F.col("id") % 7).alias("part"), (F.col("id") % 9000).cast("string").alias("many"), F.when(F.col("id") % 3 > 0, F.least(F.col("id") % 50, F.lit(5))).alias("few"))
+    states = sketches.category_sketches(df, ["many", "few"], ["part"])
+    assert states.count() == 14
+    found = {r["column"]: r for r in sketches.category_estimates(sketches.merge_sketches(states), 2).collect()}
+    assert abs(found["many"]["distinct"] - 9000) <= 9000 * sketches.relative_error() and found["few"]["distinct"] == 6
+    exact = df.filter("few = 5").count()
+    assert found["few"]["top"][0][:] == ("5", exact) and found["few"]["n"] == df.filter("few is not null").count()
+
+
+def test_store_reads_few_row_groups(spark, tmp_path):
+    """64 of 60,000 keys out of a store of some hundred row groups read a small share of the rows."""
+    steps = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("filename"), F.lit(0).alias("chunk"), F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.struct(k.alias("pos"), F.rand(3).alias("NDVI"))).alias("seq"))
+    path = str(tmp_path / "store")
+    sequence_store.write_store(steps.repartition(7), path, row_group_bytes=32 << 10, files=8)
+    names = [r[0] for r in spark.read.parquet(path).select("filename").orderBy(F.xxhash64("filename")).limit(64).collect()]
+    near = [r[0] for r in spark.read.parquet(path).select("filename").orderBy("filename").limit(64).collect()]
+    for asked, share in ((names, 0.25), (near, 0.05)):
+        result = sequence_store.fetch_batch(spark, path, [*asked, asked[0], None, "unknown"])
+        rows = result.collect()
+        assert {r["filename"] for r in rows} == set(asked) and len(rows) == 64 and all(len(r["seq"]) == 20 for r in rows)
+        assert 64 <= sequence_store.rows_scanned(result) <= share * 60_000
+    assert sequence_store.fetch_batch(spark, path, []).count() == 0
+    with pytest.raises(ValueError):
+        sequence_store.fetch_batch(spark, path, [str(k) for k in range(2000)])
