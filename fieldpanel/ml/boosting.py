@@ -205,7 +205,7 @@ def grow(rounds: _Rounds, width: int, max_depth: int, penalties: Penalties, rate
     """One tree, level by level, and the held-out loss before it."""
     tree, loss = Tree(), None
     open_nodes = [tree.add()]
-    for level in range(max_depth + 1):
+    for level in range(max_depth):
         sums, seen = rounds.sums(tree, open_nodes, width, share, salt)
         loss = seen if level == 0 else loss
         next_nodes = []
@@ -213,11 +213,17 @@ def grow(rounds: _Rounds, width: int, max_depth: int, penalties: Penalties, rate
             g, h, n = sums[:, k, 0].sum(1) if sums.shape[2] else np.zeros(3)
             tree.sums[at] = float(g), float(h), int(round(n))
             tree.value[at] = rate * penalties.value(g, h)
-            found = best_split(sums[:, k], penalties) if level < max_depth else None
+            found = best_split(sums[:, k], penalties)
             if found:
-                tree.change[at], tree.feature[at], tree.bin[at] = found
+                tree.change[at], feature, cut = found
+                tree.feature[at], tree.bin[at] = feature, cut
                 tree.left[at], tree.right[at] = tree.add(), tree.add()
                 next_nodes += [tree.left[at], tree.right[at]]
+                # The children's sums are those of the split, so the last level needs no job of its own.
+                for child, part in ((tree.left[at], sums[:, k, feature, : cut + 1]), (tree.right[at], sums[:, k, feature, cut + 1 :])):
+                    g, h, n = part.sum(1)
+                    tree.sums[child] = float(g), float(h), int(round(n))
+                    tree.value[child] = rate * penalties.value(g, h)
         open_nodes, tree.depth = next_nodes, level + 1
         if not open_nodes:
             break

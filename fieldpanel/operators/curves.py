@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldpanel.operators.metrics import rate
+from fieldpanel.sources.io import materialise
 
 
 def score_counts(df: DataFrame, by: Sequence[str] = (), score: str = "y_prob", truth: str = "y_true") -> DataFrame:
-    """(by, score, pos, neg) per distinct score."""
+    """(by, score, pos, neg) per distinct score. Rows without score (null or NaN) or truth are left out."""
     return (
-        df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull())
+        df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(truth).isNotNull())
         .groupBy(*by, F.col(score).alias("score"))
         .agg(F.count(F.when(F.col(truth) == 0, 1)).alias("pos"), F.count(F.when(F.col(truth) != 0, 1)).alias("neg"))
     )
@@ -27,10 +28,10 @@ def score_counts(df: DataFrame, by: Sequence[str] = (), score: str = "y_prob", t
 def cumulative_counts(counts: DataFrame, by: Sequence[str] = (), ranges: int = 200) -> DataFrame:
     """Add the running ``tp, fp`` by descending score, group totals ``n_pos, n_neg`` and the next lower counts.
 
-    One pass finds approximate quantiles; they only decide how the scores are spread over tasks. What is
-    summed across ranges has at most ``ranges`` rows per group.
+    The counts are stored, so their input is read once. A pass over them finds approximate quantiles; they only decide how
+    the scores are spread over tasks. What is summed across ranges has at most ``ranges`` rows per group.
     """
-    by = list(by)
+    by, counts = list(by), materialise(counts)
     shares = [i / ranges for i in range(1, max(2, ranges))]
     found = counts.agg(F.percentile_approx("score", shares, 10 * len(shares) + 100)).first()[0]
     edges = [float("-inf"), *sorted(set(found or [0.0])), float("inf")]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldpanel.operators.ordering import hash_cutoffs, hash_order, hash_rank, with_cutoffs
+from fieldpanel.sources.io import materialise
 
 
 def mark_train(df: DataFrame, seed: int = 591, prop_train: float = 0.7, key: str = "ID") -> DataFrame:
@@ -89,7 +90,8 @@ def balanced_folds(df: DataFrame, folds: int = 5, seed: int = 591, key: str = "I
     ranked = hash_rank(sizes, [key], seed, within=["_size"], rank="_rank")
     # The plan has a line per size and fold at most; Spark broadcasts it if it is small.
     placed = ranked.join(plan, "_size", "inner").filter(F.col("_rank").between(F.col("_from"), F.col("_to")))
-    return df.join(placed.select(key, fold), key, "inner")
+    # One line per key, stored: Spark knows its size, so it is broadcast only if small, and rows are not moved then.
+    return df.join(materialise(placed.select(key, fold)), key, "inner")
 
 
 def class_weights(df: DataFrame, label: str = "target", weight: str = "weight") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Sequence
@@ -42,19 +43,21 @@ def _local_folder(application: str) -> str:
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package's modules to the executors, once per application, for functions that run in their Python."""
-    if spark.sparkContext.applicationId in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="fieldpanel-"), "fieldpanel_core.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in [top / "__init__.py", top / "schemas.py", *(p for part in ("functions", "ml", "operators", "sources") for p in (top / part).glob("*.py"))]:
-            out.write(source, source.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _SHIPPED.add(spark.sparkContext.applicationId)
+    with _SHIPPING:  # fits run in several threads
+        if spark.sparkContext.applicationId in _SHIPPED:
+            return
+        top = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="fieldpanel-"), "fieldpanel_core.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in [top / "__init__.py", top / "schemas.py", *(p for part in ("functions", "ml", "operators", "sources") for p in (top / part).glob("*.py"))]:
+                out.write(source, source.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(spark.sparkContext.applicationId)
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType | None = None, columns: Sequence[str] | None = None) -> DataFrame:
