@@ -23,7 +23,7 @@ _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, se
 _WINDOWS = "sequence_id long, offset long, length long, ids binary, whole boolean"
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int, drops_space: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, end_id: int, drops_space: bool = False, id_col: str = "doc_id", text_col: str = "text", kept_words: int | None = None) -> DataFrame:
     """``part, pos, doc_id, local_start, n_tokens, ids``: ids of the whole text, then ``end_id``; null text is empty.
 
     ``ids`` are little-endian unsigned integers of 16 bits (32 for vocabularies over 65,536). ``local_start`` counts
@@ -31,7 +31,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, drops_space: bool
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = tokens.encoder(path, drops_space)
+        code = tokens.encoder(path, drops_space, kept_words)
         end, width = np.array([end_id], code.dtype).tobytes(), code.dtype.itemsize
         part, pos, start = TaskContext.get().partitionId(), 0, 0
         for batch in common.slices(batches):
@@ -155,6 +155,9 @@ class _Cuts:
             done += length
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024) -> Packed:
-    """Encode and place documents. An empty table gives no pieces; null and empty texts give their end id alone."""
-    return Packed(encode_documents(docs, path, end_id), window)
+def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = 1024, kept_words: int | None = None) -> Packed:
+    """Encode and place documents. An empty table gives no pieces; null and empty texts give their end id alone.
+
+    ``kept_words`` bounds the memory of a worker for words it has seen; results don't depend on it.
+    """
+    return Packed(encode_documents(docs, path, end_id, kept_words=kept_words), window)

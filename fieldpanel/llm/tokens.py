@@ -12,9 +12,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Words whose ids a worker keeps at most. Half as many make a generation; when it is full, words that the next one
+#: Words whose ids a worker keeps at most, unless a caller asks for fewer (about 250 bytes each). Half as many make a generation; when it is full, words that the next one
 #: doesn't use are dropped with it. Memory is bounded and results don't depend on it.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 1_200_000
 #: New words that are encoded in one run, with a special token between them.
 RUN_WORDS = 64
 
@@ -45,6 +45,7 @@ class WordEncoder:
         if suffix:
             self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ending[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.limit = KEPT_WORDS
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # Where case makes no difference, ASCII words are kept in lower case alone.
@@ -121,7 +122,7 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         parts = [self._words(t) if self._splits(t) else None for t in texts]
-        if len(self.kept) > KEPT_WORDS // 2:
+        if len(self.kept) > self.limit // 2:
             self.kept, self.older = {}, self.kept
         new = {w for p in parts if p for w in p}.difference(self.kept)
         again = new.intersection(self.older) if len(new) < len(self.older) else self.older.keys() & new
@@ -135,11 +136,13 @@ class WordEncoder:
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str, drops_space: bool) -> WordEncoder:
-    """The worker's encoder for this vocabulary file, made once."""
+def encoder(path: str, drops_space: bool, kept_words: int | None = None) -> WordEncoder:
+    """The worker's encoder for this vocabulary file, made once; ``kept_words`` bounds what it keeps from now on."""
     if (path, drops_space) not in _ENCODERS:
         _ENCODERS[path, drops_space] = WordEncoder(path, drops_space)
-    return _ENCODERS[path, drops_space]
+    found = _ENCODERS[path, drops_space]
+    found.limit = KEPT_WORDS if kept_words is None else kept_words
+    return found
 
 
 def as_u32(ids: np.ndarray) -> bytes:
