@@ -42,7 +42,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, start, length, doc_tokens, sequence_id, offset, ids``: the documents that are left, in sequences of 1,024 ids."""
     common.ship(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024).pieces()
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024, kept_words=300_000).pieces()
 
 
 STAGES: list[tuple[str, Stage]] = [
