@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
 from fieldpanel.ml import importance, kernels, models, recurrent
 from fieldpanel.ml.boosting import BoostedTrees
 from fieldpanel.ml.deep_forest import DeepForest
@@ -320,6 +321,18 @@ def test_merged_sketches_stay_within_their_bound(spark):
     assert found["few"]["top"][0][:] == ("5", exact) and found["few"]["n"] == df.filter("few is not null").count()
 
 
+def test_top_category_is_exact_beyond_the_tracked_items(spark, tmp_path):
+    keys = F.array(F.col("id") % 100_000, F.when(F.col("id") < 7, F.lit(5)))
+    orders = spark.range(200_000).select(F.explode(keys).alias("o_custkey")).filter("o_custkey IS NOT NULL")
+    orders = orders.withColumns({"o_orderpriority": F.concat(F.lit("P"), (F.col("o_custkey") % 3).cast("string")), "o_orderstatus": F.lit("O")})
+    orders.withColumn("o_orderdate", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("o_custkey") % 365).cast("int"))).write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r["column"]: r for r in entry_points.queries()["category_sketch"](spark, str(tmp_path)).collect()}
+    assert found["o_custkey"][1:] == (200_007, 100_000, True, None, 9)
+    assert found["o_orderpriority"][1:] == (200_007, 3, True, "P2", 66_673)
+    assert found["o_orderstatus"][1:] == (200_007, 1, True, "O", 200_007)
+
+
+
 def test_store_reads_few_row_groups(spark, tmp_path):
     """64 of 60,000 keys out of a store of some hundred row groups read a small share of the rows."""
     steps = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("filename"), F.lit(0).alias("chunk"), F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.struct(k.alias("pos"), F.rand(3).alias("NDVI"))).alias("seq"))
