@@ -25,7 +25,7 @@ from fieldpanel.sources.io import ship
 
 SITE_COLS = ("Age", "Density", "Type_Conifer", "Type_Decidous")
 #: Chunks that a task folds side by side.
-ROWS = 256
+ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -52,10 +52,15 @@ class Recurrence:
 def fold(state: np.ndarray, steps: np.ndarray, lengths: np.ndarray, weights: tuple[np.ndarray, np.ndarray, np.ndarray], leak: float) -> np.ndarray:
     """States (rows x units) after the first ``lengths`` steps (rows x steps x inputs) of every row."""
     a, b, c = weights
+    order = np.argsort(-lengths, kind="stable")  # rows that still have steps come first
+    state, steps, counts = state[order], steps[order], np.sort(lengths)
     for t in range(steps.shape[1]):
-        new = (1 - leak) * state + leak * np.tanh(steps[:, t] @ a.T + state @ b.T + c)
-        state = np.where((t < lengths)[:, None], new, state)
-    return state
+        now = len(counts) - np.searchsorted(counts, t, "right")
+        held = state[:now]
+        state[:now] = (1 - leak) * held + leak * np.tanh(steps[:now, t] @ a.T + held @ b.T + c)
+    out = np.empty_like(state)
+    out[order] = state
+    return out
 
 
 def last_states(chunks: DataFrame, inputs: Sequence[str], centre: Sequence[float], spread: Sequence[float], recurrence: Recurrence, keys: Sequence[str] = tuple(RECORD_KEY)) -> DataFrame:
@@ -69,45 +74,47 @@ def last_states(chunks: DataFrame, inputs: Sequence[str], centre: Sequence[float
     schema = chunks.select(*keys).schema
     target = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields) + ", state array<double>"
 
-    def padded(seqs: list) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array([len(s) for s in seqs])
+    def padded(seqs: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        offsets = seqs.offsets.to_numpy()
+        lengths = np.diff(offsets)
+        steps = seqs.values.slice(offsets[0], offsets[-1] - offsets[0])
+        values = np.stack([steps.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in inputs], 1)
         out = np.zeros((len(seqs), lengths.max(initial=0), len(inputs)))
-        for k, s in enumerate(seqs):
-            raw = np.array([[np.nan if step[c] is None else step[c] for c in inputs] for step in s], np.float64).reshape(len(s), -1)
-            out[k, : len(s)] = np.nan_to_num((raw - middle) / width)
+        out[np.arange(out.shape[1]) < lengths[:, None]] = np.nan_to_num((values - middle) / width)
         return out, lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # key and state of the sequence that the last rows belong to
 
-        def emit(done: list[tuple]) -> pa.RecordBatch:
-            table = pa.Table.from_pylist([dict(zip(keys, k, strict=True)) for k, _ in done], schema=key_types)
-            return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.columns), pa.array([s.tolist() for _, s in done], pa.list_(pa.float64()))], names=[*keys, "state"])
+        def emit(names: pa.RecordBatch, states: np.ndarray) -> pa.RecordBatch:
+            offsets = pa.array(np.arange(len(states) + 1, dtype=np.int32) * recurrence.units)
+            return pa.RecordBatch.from_arrays([*names.columns, pa.ListArray.from_arrays(offsets, pa.array(states.ravel()))], names=[*keys, "state"])
 
-        key_types = None
         for whole in batches:
-            key_types = pa.schema([whole.schema.field(c) for c in keys])
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                names = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
-                steps, lengths = padded(batch.column("seq").to_pylist())
-                turn = [0] * len(names)
-                for k in range(1, len(names)):
-                    turn[k] = turn[k - 1] + 1 if names[k] == names[k - 1] else 0
-                turns = np.array(turn)
-                states = np.zeros((len(names), recurrence.units))
-                for r in range(turns.max(initial=0) + 1):
+                n, names = batch.num_rows, batch.select(keys)
+                steps, lengths = padded(batch.column("seq"))
+                codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in names.columns]
+                begins = np.append(True, np.any([c[1:] != c[:-1] for c in codes], axis=0))
+                first = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+                turns = np.arange(n) - first  # place of a chunk among those of its sequence in this batch
+                carried = held is not None and held[0].equals(names.slice(0, 1))
+                states = np.zeros((n, recurrence.units))
+                for r in range(turns.max() + 1):
                     now = np.nonzero(turns == r)[0]
-                    start = np.stack([held[1] if r == 0 and k == 0 and held and held[0] == names[0] else states[k - 1] if r else np.zeros(recurrence.units) for k in now.tolist()])
+                    start = states[now - 1] if r else np.zeros((len(now), recurrence.units))
+                    if carried and r == 0:
+                        start[0] = held[1]
                     states[now] = fold(start, steps[now], lengths[now], weights, recurrence.leak)
-                ends = [k for k in range(len(names) - 1) if names[k + 1] != names[k]]
-                done = [(held[0], held[1])] if held and held[0] != names[0] else []
-                done += [(names[k], states[k]) for k in ends]
-                held = names[-1], states[-1]
-                if done:
-                    yield emit(done)
-        if held:
-            yield emit([held])
+                if held is not None and not carried:
+                    yield emit(held[0], held[1][None])
+                ends = np.nonzero(begins[1:])[0]
+                if len(ends):
+                    yield emit(names.take(pa.array(ends)), states[ends])
+                held = names.slice(n - 1, 1), states[n - 1]
+        if held is not None:
+            yield emit(held[0], held[1][None])
 
     dealt = chunks.select(*keys, "chunk", "seq").repartition(*keys).sortWithinPartitions(*keys, "chunk")
     return dealt.mapInArrow(run, target)
@@ -141,6 +148,7 @@ class RecurrentRegressor:
     inputs: tuple[str, ...] = tuple(STEP_FEATURES)
 
     def _rows(self, lookup: DataFrame, steps: DataFrame, centre: Sequence[float], spread: Sequence[float]) -> DataFrame:
+        """``steps`` hold no other records than ``lookup``."""
         states = last_states(collect_steps(steps, features=self.inputs), self.inputs, centre, spread, self.recurrence)
         site = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in SITE_COLS] if self.concat_features else []
         return lookup.join(states, RECORD_KEY, "inner").withColumn("z", F.concat(F.array(F.lit(1.0), *site), "state"))
@@ -170,7 +178,8 @@ class RecurrentModel:
     def predict(self, lookup: DataFrame, steps: DataFrame, threshold: float = 0.7) -> DataFrame:
         """Record key, age, raw and thresholded truth and prediction (0..100) of the records with steps."""
         beta = F.array(*[F.lit(float(b)) for b in self.coefficients])
-        rows = self.regressor._rows(lookup, steps, self.centre, self.spread)
+        known = steps.join(lookup.select(*RECORD_KEY), RECORD_KEY, "left_semi")
+        rows = self.regressor._rows(lookup, known, self.centre, self.spread)
         raw = F.aggregate(F.zip_with("z", beta, lambda z, b: z * b), F.lit(0.0), lambda total, v: total + v)
         out = rows.select(*RECORD_KEY, "Age", F.col("target").alias("raw_y_true"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)).alias("raw_y_pred"))
         return out.withColumns({"y_true": below_threshold_label(F.col("raw_y_true"), threshold), "y_pred": below_threshold_label(F.col("raw_y_pred"), threshold)})

@@ -263,6 +263,26 @@ def test_states_carry_over_chunks(spark, chunk):
     assert set(got) == set(expected) and all(np.allclose(got[k], expected[k]) for k in got)
 
 
+def test_long_batches_fold_without_python_rows(spark):
+    """Shuffled lengths, sequences over batch borders; steps that are no record of the lookup are not folded."""
+    steps = spark.range(60_000).select((F.col("id") % 1500).alias("ID"), F.lit("p").alias("PixelID"), F.lit("2020-01-01").cast("date").alias("SrvvR_Date"), (F.floor(F.col("id") / 1500) + 1).alias("pos"), (F.col("id") % 11).cast("double").alias("NDVI"))
+    steps = steps.filter("pos <= 1 + ID % 40")
+    chunks = materialise(steps.groupBy("ID", "PixelID", "SrvvR_Date", F.floor((F.col("pos") - 1) / 7).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "NDVI"))).alias("seq")))
+    fold = recurrent.Recurrence(units=3)
+    a, b, c = fold.weights(1)
+    got = {r["ID"]: r["state"] for r in recurrent.last_states(chunks, ["NDVI"], [5.0], [2.0], fold).collect()}
+    assert set(got) == set(range(1500))
+    for k in range(0, 1500, 37):
+        h = np.zeros(3)
+        for p in range(1 + k % 40):
+            h = 0.7 * h + 0.3 * np.tanh(a @ [((k + 1500 * p) % 11 - 5) / 2] + b @ h + c)
+        assert np.allclose(got[k], h)
+    lookup = spark.createDataFrame([(3, "p", dt.date(2020, 1, 1), 1, 50.0)], "ID long, PixelID string, SrvvR_Date date, Age int, target double")
+    fitted = recurrent.RecurrentModel(recurrent.RecurrentRegressor(inputs=("NDVI",)), [5.0], [2.0], [0.0] * 49)
+    folded = fitted.predict(lookup, steps)._jdf.queryExecution().optimizedPlan().toString()
+    assert folded.index("MapInArrow") < folded.index("LeftSemi")  # the semi join is below the fold
+
+
 # --- mergeable statistics ---
 
 
