@@ -283,6 +283,24 @@ def test_long_batches_fold_without_python_rows(spark):
     assert folded.index("MapInArrow") < folded.index("LeftSemi")  # the semi join is below the fold
 
 
+def test_a_node_tries_its_features_side_by_side(monkeypatch):
+    """Two scorings per split node whatever the number of features, and leaves that are pure or all equal."""
+    calls, plain = [], kernels.mixed
+    monkeypatch.setattr(kernels, "mixed", lambda *a: calls.append(1) or plain(*a))
+    rng = np.random.default_rng(4)
+    x, y, w = rng.integers(0, 4, (400, 9)).astype(float), rng.integers(0, 2, 400), rng.choice([1.0, 0.5], 400)
+    for criterion in ("gini", "entropy"):
+        calls.clear()
+        grown = kernels.grow_local(x, y, w, np.ones(400, np.int64), kernels.Growth(criterion, 9, 1, 7), 0, 0)
+        assert len(calls) == 2 * sum(g[0] >= 0 for g in grown)
+        a, b = rng.random((2, 50)) * rng.integers(0, 2, (2, 50))
+        assert np.allclose(plain(a, b, criterion), (a + b) * kernels.impurity_of(np.stack([a, b], 1), criterion))
+        j, threshold, *_ = grown[0]
+        score = lambda f, t: sum(float(plain(*np.bincount(y[m], w[m], 2)[:, None], criterion)[0]) for m in (x[:, f] <= t, x[:, f] > t))
+        assert score(j, threshold) == pytest.approx(min(score(f, t + 0.5) for f in range(9) for t in range(3)))
+        assert all((g[4] > 0).sum() == 1 for g in grown if g[0] < 0 and g[5] > 1)
+
+
 # --- mergeable statistics ---
 
 
