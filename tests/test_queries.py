@@ -30,6 +30,18 @@ def test_every_sql_has_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
+@pytest.mark.parametrize("name", ["train_rows", "rest_rows"])
+def test_sides_read_observations_once(spark, name):
+    """The cutoff and the rows come from rows that are written once, not from the source tables twice."""
+    files = entry_points.queries()[name](spark, SF).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f or "orders" in f]
+
+
+def test_rows_are_the_same_wherever_sites_are_joined(spark):
+    plain, spread = adapter.raw_wide(spark, SF), adapter.raw_wide(spark, SF, together=False)
+    assert plain.schema == spread.schema and plain.exceptAll(spread).isEmpty() and spread.exceptAll(plain).isEmpty()
+
+
 def test_pipelines(spark, tmp_path):
     raw = str(tmp_path / "raw")
     adapter.raw_wide(spark, SF).write.parquet(raw)
