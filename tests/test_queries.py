@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 import oracle
 from fieldpanel.ml import evaluate, models
-from fieldpanel.plans import adapter, pipeline
+from fieldpanel.plans import adapter, catalog, pipeline
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,6 +42,24 @@ def test_rows_are_the_same_wherever_sites_are_joined(spark):
     assert plain.schema == spread.schema and plain.exceptAll(spread).isEmpty() and spread.exceptAll(plain).isEmpty()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_indices_are_computed_after_the_joins(spark):
+    """What is moved to the sites are columns of the source tables, not the more numerous indices made of them."""
+    for together in (True, False):
+        plan = plan_of(adapter.raw_wide(spark, SF, together).select("ID", "NDVI", "Planted"))
+        assert plan.index("AS NDVI") < plan.index("Join Inner")
+
+
+def test_surveys_are_unpivoted_once(spark):
+    """Records, and the surveys of a match, are read from where they were written, not made anew by each reader."""
+    assert "Window" not in plan_of(catalog.features(spark, SF))
+    records, _ = catalog.sequence_inputs(spark, SF)
+    assert records.inputFiles() and not [f for f in records.inputFiles() if "lineitem" in f or "orders" in f]
+
+
 def test_pipelines(spark, tmp_path):
     raw = str(tmp_path / "raw")
     adapter.raw_wide(spark, SF).write.parquet(raw)
