@@ -1,5 +1,7 @@
 import datetime as dt
+import itertools
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -186,6 +188,31 @@ def test_elimination(rows):
     assert select.best_count([(0, 4, 0.5), (0, 9, 0.6), (1, 4, 0.6), (1, 9, 0.5)]) == 4
 
 
+def at_once(count, work):
+    """``work``, which goes on only when ``count`` threads are in it, for its first ``count`` calls."""
+    barrier, calls = threading.Barrier(count, timeout=60), itertools.count()
+
+    def run(*args, **options):
+        if next(calls) < count:
+            barrier.wait()
+        return work(*args, **options)
+
+    return run
+
+
+def test_fits_of_different_folds_run_side_by_side(rows, monkeypatch):
+    monkeypatch.setattr(search, "fit_on_features", at_once(2, search.fit_on_features))
+    configs = [{"C": 1.0}]
+    records = search.cross_validate(models.build_logistic_regression(max_iter=5), rows, configs, 2, parallelism=2)
+    assert sorted((r["config"], r["fold"]) for r in records) == [(0, 0), (0, 1)]
+
+
+def test_out_of_fold_fits_run_side_by_side(rows, monkeypatch):
+    monkeypatch.setattr(evaluate, "fit", at_once(5, evaluate.fit))
+    predicted = evaluate.out_of_fold(models.build_gradient_boosting(n_estimators=1, max_depth=1), rows)
+    assert sorted(r.fold for r in predicted.select("fold").distinct().collect()) == [0, 1, 2, 3, 4]
+
+
 def prepared_forest(rows, kind=models.RF, params=None):
     complete = rows.dropna()
     prep = Prep().fit(complete)
