@@ -2,27 +2,99 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldpanel.ml.evaluate import score_expression
+from fieldpanel.ml.kernels import Forest, matrix, swapped_answers
 from fieldpanel.ml.models import FittedModel, ModelSpec, fit_on_features, slicer, weighted
 from fieldpanel.ml.prep import LABEL
 from fieldpanel.operators.importance import top_features
-from fieldpanel.operators.metrics import confusion
+from fieldpanel.operators.metrics import COUNTS, confusion
 from fieldpanel.operators.ordering import hash_rank
 from fieldpanel.schemas import SURVEY_KEY
-from fieldpanel.sources.io import materialise, scratch_dir
+from fieldpanel.sources.io import materialise, scratch_dir, ship
+
+
+#: Pairs of rows that a task goes through the trees at once.
+SLICE_ROWS = 256
+#: Nodes of a forest that a task takes in for :func:`swapped_counts`; larger forests are left to Spark's own prediction.
+MOST_NODES = 2_000_000
+
+
+def forest_nodes(model: RandomForestClassificationModel) -> Forest | None:
+    """The nodes of a forest of two classes; None for more classes, wider categories, or too many nodes.
+
+    The finished model is in the driver's memory, as any Spark ensemble is.
+    """
+    if model.numClasses != 2 or model.totalNumNodes > MOST_NODES or model.isDefined("thresholds"):
+        return None
+    spark = SparkSession.active()
+    path = scratch_dir(spark)
+    model.write().save(path)
+    split = F.col("nodeData.split")
+    saved = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.impurityStats",
+        split.featureIndex.alias("feature"), split.numCategories.alias("categories"), split.leftCategoriesOrThreshold.alias("cut"),
+    )
+    nodes = saved.toPandas().sort_values(["tree", "id"], ignore_index=True)
+    inner = nodes["leftChild"].to_numpy() >= 0
+    # A feature of two categories, 0 and 1, is cut between them; if 1 goes left, the sides are exchanged.
+    categories = nodes["categories"].to_numpy()
+    if (inner & (categories > 2)).any():
+        return None
+    two = inner & (categories == 2)
+    cut = np.array([c[0] if i else np.inf for i, c in zip(inner, nodes["cut"])], np.float64)
+    size = np.bincount(nodes["tree"].to_numpy(), minlength=model.getNumTrees)
+    roots = np.cumsum(size) - size
+    first, own = roots[nodes["tree"].to_numpy()], np.arange(len(nodes))
+    left, right = (np.where(inner, first + nodes[c].to_numpy(), own) for c in ("leftChild", "rightChild"))
+    turned = two & (cut == 1.0)
+    left, right = np.where(turned, right, left), np.where(turned, left, right)
+    stats = np.stack(nodes["impurityStats"].to_numpy()).astype(np.float64)
+    total = stats[:, 0] + stats[:, 1]
+    share = np.divide(stats.T, total, out=np.zeros((2, len(nodes))), where=total != 0)
+    depth, level = 0, roots
+    while (level := level[inner[level]]).size:
+        depth, level = depth + 1, np.concatenate([left[level], right[level]])
+    return Forest(np.where(inner, nodes["feature"].to_numpy(), 0), np.where(two, 0.5, cut), left, right, share, roots, depth)
+
+
+def swapped_counts(forest: Forest, paired: DataFrame, size: int) -> DataFrame:
+    """``repeat, _j, tp, fn, fp, tn`` of rows ``_own`` that take feature ``_j`` from ``_donor``."""
+    ship(paired.sparkSession)
+    names = ["repeat", "_j", *COUNTS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                high = swapped_answers(forest, matrix(part.column("_own"), size), matrix(part.column("_donor"), size))
+                repeat, truth = part.column("repeat").to_numpy(), part.column("truth").to_numpy(zero_copy_only=False)
+                for r in np.unique(repeat).tolist():
+                    cells = [((repeat == r) & (truth == actual))[:, None] & (high == answer) for actual, answer in ((0, 0), (0, 1), (1, 0), (1, 1))]
+                    totals[r] = totals.get(r, 0) + np.stack([c.sum(0) for c in cells])
+        for r, counts in totals.items():
+            cols = [np.full(size, r), np.arange(size), *counts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    taken = paired.select("repeat", F.col(LABEL).cast("double").alias("truth"), "_own", "_donor")
+    parts = taken.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    summed = parts.groupBy("repeat", "_j").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return summed.withColumns({c: F.col(c).cast("int") for c in ("repeat", "_j")})
 
 
 def permutation_scores(
@@ -39,6 +111,7 @@ def permutation_scores(
 
     Two seeded orders of the rows, matched by rank, give each row a donor row per repeat; every feature of that
     repeat is taken from the same donor. Predictions are counted where they are made, so only counts are shuffled.
+    Forests go down again only where the donor's value changes a row's way; other models predict every copy.
     """
     keys = list(keys)
     rows = prepared.select(*keys, LABEL, vector_to_array(F.col(features)).alias("_own"))
@@ -50,11 +123,16 @@ def permutation_scores(
         for r in range(repeats)
     ]
     paired = base.join(reduce(DataFrame.unionByName, donors), "_i", "inner")
-    shuffled = paired.withColumn("_j", F.explode(F.array(*[F.lit(j) for j in range(len(names))])))
-    swapped = F.transform("_own", lambda x, i: F.when(i == F.col("_j"), F.get("_donor", F.col("_j"))).otherwise(x))
-    scored = model.transform(shuffled.select("repeat", "_j", LABEL, array_to_vector(swapped).alias(features)))
+    forest = forest_nodes(model) if isinstance(model, RandomForestClassificationModel) else None
+    if forest is not None:
+        counted = swapped_counts(forest, paired, len(names))
+    else:
+        shuffled = paired.withColumn("_j", F.explode(F.array(*[F.lit(j) for j in range(len(names))])))
+        swapped = F.transform("_own", lambda x, i: F.when(i == F.col("_j"), F.get("_donor", F.col("_j"))).otherwise(x))
+        scored = model.transform(shuffled.select("repeat", "_j", LABEL, array_to_vector(swapped).alias(features)))
+        counted = confusion(scored, ["repeat", "_j"], LABEL, "prediction")
     score = score_expression(scoring)
-    after = confusion(scored, ["repeat", "_j"], LABEL, "prediction").select("repeat", "_j", score.alias("_after"))
+    after = counted.select("repeat", "_j", score.alias("_after"))
     before = confusion(model.transform(prepared), (), LABEL, "prediction").select(score.alias("_before"))
     feature = F.array(*[F.lit(n) for n in names])[F.col("_j")]
     return after.crossJoin(F.broadcast(before)).select(

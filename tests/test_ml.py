@@ -9,7 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from fieldpanel.ml import evaluate, importance, models, search, select, seqreg
+from fieldpanel.ml import evaluate, importance, kernels, models, search, select, seqreg
 from fieldpanel.ml.prep import Prep
 from fieldpanel.schemas import INDEX_COLS
 
@@ -232,6 +232,28 @@ def test_permutation_importance(rows):
     assert sorted(repeat.collect()) == sorted(scores.collect())
 
 
+@pytest.mark.parametrize("params", [{"n_estimators": 12, "max_depth": 6}, {"n_estimators": 4}, {"n_estimators": 2, "max_depth": 0}])
+def test_permuted_rows_of_a_forest_are_answered_as_by_spark(rows, params, monkeypatch):
+    prep, data, model = prepared_forest(rows, params=params)
+    found = importance.permutation_scores(model, data, prep.names, 2, "f1", keys=["ID", "PixelID"])
+    monkeypatch.setattr(importance, "MOST_NODES", 0)  # every copy by the model
+    assert importance.forest_nodes(model) is None
+    wanted = importance.permutation_scores(model, data, prep.names, 2, "f1", keys=["ID", "PixelID"])
+    assert found.dtypes == wanted.dtypes and sorted(found.collect()) == sorted(wanted.collect())
+
+
+def test_swapped_answers_count_near_ties_tree_by_tree():
+    rng = np.random.default_rng(3)
+    # Two trees of opposite leaves: votes of many rows are equal, and the first class wins.
+    forest = kernels.Forest(np.array([0, 0, 0, 1, 0, 0]), np.array([0.5, np.inf, np.inf, 0.5, np.inf, np.inf]), np.array([1, 1, 2, 4, 4, 5]), np.array([2, 1, 2, 5, 4, 5]), np.array([[0.5, 0.9, 0.1, 0.5, 0.1, 0.9], [0.5, 0.1, 0.9, 0.5, 0.9, 0.1]]), np.array([0, 3]), 1)
+    own, donor = rng.random((200, 3)), rng.random((200, 3))
+    found = kernels.swapped_answers(forest, own, donor)
+    for j in range(3):
+        x = own.copy()
+        x[:, j] = donor[:, j]
+        assert (found[:, j] == ((x[:, 0] > 0.5) & (x[:, 1] <= 0.5))).all()
+
+
 @pytest.mark.parametrize("kind, params", [(models.RF, FOREST), (models.GBT, {"n_estimators": 3, "max_depth": 2})])
 def test_tree_contributions_add_up(rows, kind, params):
     prep, data, model = prepared_forest(rows, kind, params)
