@@ -9,7 +9,6 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldpanel.ml.evaluate import score_expression
 from fieldpanel.ml.kernels import Forest, matrix, swapped_answers
-from fieldpanel.ml.models import FittedModel, ModelSpec, fit_on_features, slicer, weighted
+from fieldpanel.ml.models import FittedModel, ModelSpec, fit_on_features, kept_for_fit, slicer, weighted
 from fieldpanel.ml.prep import LABEL
 from fieldpanel.operators.importance import top_features
 from fieldpanel.operators.metrics import COUNTS, confusion
@@ -266,7 +265,7 @@ class ImportanceSelector:
         missing = [c for c in self.keep_features if c not in prep.names]
         if missing:
             raise ValueError(f"keep_features are not encoded features: {missing}")
-        prepared = weighted(prep.transform(complete), spec.params, weight_col).persist(StorageLevel.MEMORY_AND_DISK)
+        prepared = kept_for_fit(weighted(prep.transform(complete), spec.params, weight_col))
         try:
             full = fit_on_features(spec.kind, spec.params, spec.seed, prepared)
             if self.method == "SHAP":

@@ -345,3 +345,19 @@ def test_sequence_regression(spark, tmp_path):
     model.save(str(tmp_path / "s"))
     again = seqreg.SequenceModel.load(str(tmp_path / "s")).predict(frame, 0.7).collect()
     assert sorted(again) == sorted(out)
+
+
+def test_rows_for_a_fit_are_dealt_evenly(rows, monkeypatch):
+    monkeypatch.setattr(models, "PART_ROWS", 30)
+    kept = models.kept_for_fit(rows.coalesce(1))
+    try:
+        sizes = [r["n"] for r in kept.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1 and sum(sizes) == 121
+    finally:
+        kept.unpersist()
+    # Forests number the nodes of their rows; the trees are the same.
+    made = models.estimator(models.RF, FOREST, 1, 1.0)
+    assert made.getCacheNodeIds()
+    prep, data, model = prepared_forest(rows)
+    plain = made.setFeaturesCol("features").setCacheNodeIds(False).fit(data)
+    assert plain.toDebugString.split("\n")[1:] == model.toDebugString.split("\n")[1:]
