@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldpanel.functions.scalar import below_threshold_label
+from fieldpanel.ml.models import kept_for_fit
 from fieldpanel.operators.history import summarise_steps
 from fieldpanel.operators.ordering import hash_cutoffs, hash_order, with_cutoffs
 from fieldpanel.schemas import INDEX_COLS, RECORD_KEY
@@ -47,7 +48,6 @@ class SequenceRegressor:
         cut = hash_cutoffs(df, key, f"{self.seed}:valid", lambda n: F.array(F.floor(F.lit(share) * n)))
         last = F.try_element_at("_cutoffs", F.lit(1))
         held = F.coalesce(hash_order([key], f"{self.seed}:valid") <= last, F.lit(False))
-        marked = with_cutoffs(df, cut).withColumn("_valid", held).drop("_cutoffs")
         boosting = GBTRegressor(
             featuresCol="_x",
             labelCol="target",
@@ -59,7 +59,14 @@ class SequenceRegressor:
             validationIndicatorCol="_valid",
             validationTol=self.tolerance,
         )
-        return SequenceModel(Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_x"), boosting]).fit(marked))
+        assembler = VectorAssembler(inputCols=inputs, outputCol="_x")
+        # The fit reads the rows many times, but of all columns only these.
+        narrow = assembler.transform(df).select(key, "_x", "target")
+        assembled = kept_for_fit(with_cutoffs(narrow, cut).select("_x", "target", held.alias("_valid")))
+        try:
+            return SequenceModel(PipelineModel(stages=[assembler, boosting.fit(assembled)]))
+        finally:
+            assembled.unpersist()
 
 
 @dataclass(frozen=True)

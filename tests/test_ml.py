@@ -361,3 +361,12 @@ def test_rows_for_a_fit_are_dealt_evenly(rows, monkeypatch):
     prep, data, model = prepared_forest(rows)
     plain = made.setFeaturesCol("features").setCacheNodeIds(False).fit(data)
     assert plain.toDebugString.split("\n")[1:] == model.toDebugString.split("\n")[1:]
+
+
+def test_sequence_fit_reads_assembled_rows_once(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame([(i, i, 10.0, 5, 0.0, 1.0, float(i % 100), float(i)) for i in range(60)], "ID long, Age int, Density double, seq_len int, Type_Conifer double, Type_Decidous double, target double, NDVI_last double")
+    seen = []
+    monkeypatch.setattr(seqreg, "kept_for_fit", lambda df: seen.append(df) or models.kept_for_fit(df))
+    model = seqreg.SequenceRegressor(True, max_iter=2).fit(frame, ["NDVI"])
+    assert [d.columns for d in seen] == [["_x", "target", "_valid"]] and 0 < seen[0].filter("_valid").count() < 60
+    assert [type(s).__name__ for s in model.pipeline.stages] == ["VectorAssembler", "GBTRegressionModel"]
