@@ -20,6 +20,10 @@ RUN_WORDS = 64
 
 #: White space other than the space and the line feed, and the controls that some libraries count as such.
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))) + "]")
+#: Letters before a mark that are letters to every version of Unicode, in lower case too.
+_SURE = re.compile("[\0-\u012f\u0131-\u04ff]")
+#: Marks that may stand for themselves at the end of a word; an apostrophe may belong to the letters.
+MARKS = ".,;:!?)]}\"-"
 _CONTROL = re.compile("[" + "".join(map(chr, range(28, 32))) + "]")
 
 
@@ -45,6 +49,11 @@ class WordEncoder:
         if suffix:
             self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ending[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        #: Ids of marks that the tokenizer cuts off the letters before them.
+        self.marks: dict[str, bytes] = {}
+        if suffix:
+            letters = self._whole("ab")
+            self.marks = {c: self._whole(c) for c in MARKS if self._whole("ab" + c) == letters + self._whole(c)}
         self.limit = KEPT_WORDS
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -80,10 +89,17 @@ class WordEncoder:
             sources = words if self.drops_space else [w if w[:1] == "\n" else " " + w for w in words]
             self._learn_runs(words, sources, self.border)
             return
-        letters = [w for w in words if w.isalpha()]
-        wrong = self._learn_letters(letters)
-        others = [w for w in words if not w.isalpha()] + wrong
+        letters, marked, others = [], [], []
+        for w in words:
+            (letters if w.isalpha() else marked if w[-1] in self.marks and w[:-1].isalpha() and _SURE.match(w[-2]) else others).append(w)
+        # A mark after letters is a piece of its own, so only the letters need encoding.
+        bare = {w[:-1] for w in marked}.difference(self.kept, letters)
+        for w in bare & self.older.keys():
+            self.kept[w] = self.older[w]
+        others += self._learn_letters(letters + list(bare.difference(self.older)))
         self._learn_runs(others, others, self.border)
+        for w in marked:
+            self.kept[w] = self.kept[w[:-1]] + self.marks[w[-1]]
 
     def _learn_letters(self, words: list[str]) -> list[str]:
         """Words of letters; returns those of runs that have not as many ends as words."""

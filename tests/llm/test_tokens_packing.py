@@ -33,6 +33,19 @@ def test_kept_words_do_not_change_ids(monkeypatch):
     assert [code.encode([t])[0] for t in texts] == tokens.WordEncoder(BYTE, False).encode(texts)
 
 
+def test_marks_after_letters_are_not_encoded_again(monkeypatch):
+    words = ["ab", "ab,", "ab.", "cd;", "e-", "\u0130,", "i\u0307,", "stra\u00dfe,", "\u039f\u03a3.", "\u6f22\u5b57,", "don't,", "a's", "x'", '"ab"', "ab,,", "1,", ",", "\u00e9)", "e\u0301)", "\U0001e4d0,", "\u1c89,", "na\u00efve!"]
+    code = tokens.WordEncoder(WORD, True)
+    texts = [" ".join(words), *words]
+    whole = [np.array(ids[:-1], code.dtype).tobytes() for ids in library_ids(WORD, texts, 0)]
+    assert code.encode(texts) == whole
+    assert [tokens.WordEncoder(WORD, True).encode([t])[0] for t in texts] == whole
+    asked = []
+    monkeypatch.setattr(code, "_learn_runs", lambda words, sources, border: asked.extend(words))
+    assert code.encode(["ab: zebra, cd? zebra."]) == [np.array(library_ids(WORD, ["ab: zebra, cd? zebra."], 0)[0][:-1], code.dtype).tobytes()]
+    assert asked == [] and {"zebra", "zebra,"} <= code.kept.keys()
+
+
 def check_pieces(rows, expected, window=1024):
     """Every id in one piece, sequences without gaps, full but for the last powers of two."""
     of_doc, of_sequence = {}, {}
