@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -17,6 +18,8 @@ import numpy as np
 KEPT_WORDS = 1_200_000
 #: New words that are encoded in one run, with a special token between them.
 RUN_WORDS = 64
+#: Texts whose words are looked up together: few enough for a processor's cache, enough to fill runs of new words.
+GROUP_TEXTS = 32
 
 #: White space other than the space and the line feed, and the controls that some libraries count as such.
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))) + "]")
@@ -94,9 +97,10 @@ class WordEncoder:
             (letters if w.isalpha() else marked if w[-1] in self.marks and w[:-1].isalpha() and _SURE.match(w[-2]) else others).append(w)
         # A mark after letters is a piece of its own, so only the letters need encoding.
         bare = {w[:-1] for w in marked}.difference(self.kept, letters)
-        for w in bare & self.older.keys():
+        again = self.older.keys() & bare
+        for w in again:
             self.kept[w] = self.older[w]
-        others += self._learn_letters(letters + list(bare.difference(self.older)))
+        others += self._learn_letters(letters + list(bare - again))
         self._learn_runs(others, others, self.border)
         for w in marked:
             self.kept[w] = self.kept[w[:-1]] + self.marks[w[-1]]
@@ -137,16 +141,32 @@ class WordEncoder:
                     at = end + 1
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
+        texts = list(texts)
+        return [x for at in range(0, len(texts), GROUP_TEXTS) for x in self._encode(texts[at : at + GROUP_TEXTS])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Every word is looked up once; only those that were missing are looked up again after they are learned."""
         parts = [self._words(t) if self._splits(t) else None for t in texts]
         if len(self.kept) > self.limit // 2:
             self.kept, self.older = {}, self.kept
-        new = {w for p in parts if p for w in p}.difference(self.kept)
-        again = new.intersection(self.older) if len(new) < len(self.older) else self.older.keys() & new
+        words = list(chain.from_iterable(filter(None, parts)))
+        found = list(map(self.kept.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        new = {words[k] for k in missing}
+        again = self.older.keys() & new
         for word in again:
             self.kept[word] = self.older[word]
         self._learn(list(new - again))
-        get, skip = self.kept.__getitem__, len(self.line_end)
-        return [self._whole(t) if p is None else b"".join(map(get, p))[skip:] for t, p in zip(texts, parts, strict=True)]
+        for k in missing:
+            found[k] = self.kept[words[k]]
+        out, at, skip = [], 0, len(self.line_end)
+        for text, part in zip(texts, parts, strict=True):
+            if part is None:
+                out.append(self._whole(text))
+            else:
+                out.append(b"".join(found[at : at + len(part)])[skip:])
+                at += len(part)
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}

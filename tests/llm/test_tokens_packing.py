@@ -33,6 +33,20 @@ def test_kept_words_do_not_change_ids(monkeypatch):
     assert [code.encode([t])[0] for t in texts] == tokens.WordEncoder(BYTE, False).encode(texts)
 
 
+@pytest.mark.parametrize(("path", "drops"), [(BYTE, False), (WORD, True)])
+def test_new_words_do_not_walk_the_kept_ones(path, drops):
+    class Kept(dict):
+        def __iter__(self):
+            raise AssertionError("all kept words were read")
+
+    code = tokens.WordEncoder(path, drops)
+    texts = ["a b, c", "zebra a. house", "a b, c", "", " ".join(f"w{k}" for k in range(100))] * (tokens.GROUP_TEXTS + 1)
+    whole = [code._whole(t) for t in texts]
+    code.encode([" ".join(f"x{k} y{k}," for k in range(9)) + " zebra house"])
+    code.older, code.kept = Kept(code.kept | {f"z{k}": b"" for k in range(9999)}), {}
+    assert code.encode(texts) == whole and any(w.strip() == "zebra" for w in code.kept)
+
+
 def test_marks_after_letters_are_not_encoded_again(monkeypatch):
     words = ["ab", "ab,", "ab.", "cd;", "e-", "\u0130,", "i\u0307,", "stra\u00dfe,", "\u039f\u03a3.", "\u6f22\u5b57,", "don't,", "a's", "x'", '"ab"', "ab,,", "1,", ",", "\u00e9)", "e\u0301)", "\U0001e4d0,", "\u1c89,", "na\u00efve!"]
     code = tokens.WordEncoder(WORD, True)
