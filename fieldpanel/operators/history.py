@@ -2,7 +2,8 @@
 
 The history of a survey is a prefix of its pixel's observations in time order, so a step's position is computed
 once per observation and holds for every survey of the pixel. Steps stay in long form (one row per step); arrays
-are built only in chunks of bounded length.
+are built only in chunks of bounded length. Observations are moved to their pixel, and what is made of a pixel's steps
+(positions, steps, chunks, summaries) is made in that place: steps, several times as many, are not moved again.
 """
 
 from __future__ import annotations
@@ -20,6 +21,14 @@ from fieldpanel.schemas import INDEX_COLS, PIXEL_KEY, RECORD_KEY, TASSELED_CAP,
 
 STEP_FEATURES = ["log_dt", "neg_cos_DOY", *INDEX_COLS]
 SLICE_DAYS = 365
+#: Observations of a pixel that one task takes; where a pixel has more, pixels are cut into slices of ``SLICE_DAYS``.
+PIXEL_ROWS = 1 << 20
+
+
+def slice_length(observations: DataFrame, keys: Sequence[str] = tuple(PIXEL_KEY)) -> int:
+    """Days of the slices that pixels are cut into; 0 where each is small enough to stay whole."""
+    most = observations.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return SLICE_DAYS if (most or 0) > PIXEL_ROWS else 0
 
 
 def history_long(
@@ -27,16 +36,38 @@ def history_long(
     observations: DataFrame,
     keys: Sequence[str] = tuple(PIXEL_KEY),
     value_cols: Sequence[str] = tuple(INDEX_COLS),
-    slice_days: int = SLICE_DAYS,
+    slice_days: int | None = None,
 ) -> DataFrame:
     """All observations on or before each record's date: (keys, SrvvR_Date, pos, log_dt, neg_cos_DOY, values).
 
     ``pos`` counts from 1 for the oldest step; observations of one day are ordered by their values. Records
-    without history have no rows. Every pixel is cut into slices of ``slice_days``: the sort and the join of a
+    without history have no rows. With ``slice_days`` every pixel is cut into slices: the sort and the join of a
     pixel with very many observations are spread over its slices, and the rows before a slice are a running sum
-    over slice sizes.
+    over slice sizes. With 0 pixels stay whole, and by default the largest pixel decides (:func:`slice_length`).
     """
     keys = list(keys)
+    slice_days = slice_length(observations, keys) if slice_days is None else slice_days
+    dates = records.select(*keys, "SrvvR_Date").dropDuplicates()
+    placed = _placed_in_slices(dates, observations, keys, value_cols, slice_days) if slice_days else _placed(dates, observations, keys, value_cols)
+    return placed.filter(F.col("ImgDate") <= F.col("SrvvR_Date")).select(
+        *keys,
+        "SrvvR_Date",
+        F.col("_place").cast("long").alias("pos"),
+        log_days(F.col("SrvvR_Date"), F.col("ImgDate")).alias("log_dt"),
+        seasonal_cosine(F.col("DOY")).alias("neg_cos_DOY"),
+        *value_cols,
+    )
+
+
+def _placed(dates: DataFrame, observations: DataFrame, keys: list[str], value_cols: Sequence[str]) -> DataFrame:
+    """Dates and the numbered observations of their pixel; the numbering already brings a pixel to one task."""
+    in_pixel = Window.partitionBy(*keys).orderBy("ImgDate", "DOY", *value_cols)
+    seen = observations.select(*keys, "ImgDate", "DOY", *value_cols).withColumn("_place", F.row_number().over(in_pixel))
+    return seen.join(dates, keys, "inner")
+
+
+def _placed_in_slices(dates: DataFrame, observations: DataFrame, keys: list[str], value_cols: Sequence[str], slice_days: int) -> DataFrame:
+    """The same, slice by slice."""
     sliced = observations.select(*keys, "ImgDate", "DOY", *value_cols).withColumn(
         "_slice", F.floor(day_number(F.col("ImgDate")) / F.lit(slice_days))
     )
@@ -50,18 +81,9 @@ def history_long(
     in_slice = Window.partitionBy(*keys, "_slice").orderBy("ImgDate", "DOY", *value_cols)
     placed = sliced.withColumn("_inside", F.row_number().over(in_slice))
     reached = F.floor(day_number(F.col("SrvvR_Date")) / F.lit(slice_days))
-    dates = records.select(*keys, "SrvvR_Date").dropDuplicates()
     wanted = dates.join(offsets, keys, "inner").filter(F.col("_slice") <= reached)
     # The ranked side is already partitioned by (keys, slice), so the join moves only the record dates.
-    joined = placed.join(wanted, [*keys, "_slice"], "inner").filter(F.col("ImgDate") <= F.col("SrvvR_Date"))
-    return joined.select(
-        *keys,
-        "SrvvR_Date",
-        (F.col("_inside") + F.col("_before")).cast("long").alias("pos"),
-        log_days(F.col("SrvvR_Date"), F.col("ImgDate")).alias("log_dt"),
-        seasonal_cosine(F.col("DOY")).alias("neg_cos_DOY"),
-        *value_cols,
-    )
+    return placed.join(wanted, [*keys, "_slice"], "inner").withColumn("_place", F.col("_inside") + F.col("_before"))
 
 
 def history_length(steps: DataFrame, keys: Sequence[str] = tuple(RECORD_KEY)) -> DataFrame:
@@ -101,9 +123,10 @@ def sequence_tables(
     stats: DataFrame,
     levels: Sequence[str] = tuple(v for v in TYPE_LEVELS if v != "Mixed"),
     zero_std: str = "null",
-    slice_days: int = SLICE_DAYS,
+    slice_days: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(lookup, steps) ready for modelling: standardised, encoded, addressed by ``filename``."""
+    slice_days = slice_length(observations) if slice_days is None else slice_days
     steps = history_long(records, apply_stats(observations, stats, TASSELED_CAP, zero_std), slice_days=slice_days)
     kept = apply_stats(with_history(records, observations), stats, ["Density"], zero_std)
     address = record_key([F.col("ID"), F.col("PixelID")], F.col("SrvvR_Date"))

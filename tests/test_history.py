@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,47 @@ def test_history_against_brute_force(spark, slice_days):
     assert got == sorted(want)
 
 
+def exchanges(df):
+    """The columns that rows are moved by, exchange by exchange."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+
+
+def test_steps_stay_at_their_pixel(spark):
+    """Chunks and summaries are made where the observations of a pixel are: dates are moved, steps are not."""
+    records, obs, _, _ = random_history(spark)
+    steps = history.history_long(records, obs)
+    assert not [e for e in exchanges(history.collect_steps(steps)) if "chunk" in e]
+    assert len([e for e in exchanges(history.summarise_steps(steps)) if "SrvvR_Date" in e]) == 1  # the distinct dates
+
+
+def test_a_large_pixel_is_cut_into_slices(spark, monkeypatch):
+    records, obs, _, _ = random_history(spark)
+    whole = sorted(history.history_long(records, obs).collect())
+    assert history.slice_length(obs) == history.slice_length(obs.limit(0)) == 0
+    monkeypatch.setattr(history, "PIXEL_ROWS", 50)
+    assert history.slice_length(obs) == history.SLICE_DAYS
+    cut = history.history_long(records, obs)
+    assert [e for e in exchanges(cut) if "_slice" in e] and sorted(cut.collect()) == whole
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in files.getAllFiles().mkString("|").split("|") if "/shuffle_" in name}
+
+    before, setting = shuffled(), spark.conf.get(io.FREE_SHUFFLES)
+    stored = io.materialise(spark.range(1000).repartition(4, "id"))
+    assert spark.conf.get(io.FREE_SHUFFLES) == setting
+    for _ in range(50):  # they are removed in the background
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and stored.count() == 1000
+
+
 def test_order_and_presence(spark):
     records, obs, asked, seen = random_history(spark)
     steps = history.history_long(records, obs)

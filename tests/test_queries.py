@@ -60,6 +60,12 @@ def test_surveys_are_unpivoted_once(spark):
     assert records.inputFiles() and not [f for f in records.inputFiles() if "lineitem" in f or "orders" in f]
 
 
+def test_sequence_inputs_are_written(spark):
+    """Statistics and histories don't join the sources anew."""
+    for df in catalog.sequence_inputs(spark, SF):
+        assert df.inputFiles() and not [f for f in df.inputFiles() if "lineitem" in f or "orders" in f]
+
+
 def test_pipelines(spark, tmp_path):
     raw = str(tmp_path / "raw")
     adapter.raw_wide(spark, SF).write.parquet(raw)
