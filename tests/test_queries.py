@@ -60,6 +60,14 @@ def test_surveys_are_unpivoted_once(spark):
     assert records.inputFiles() and not [f for f in records.inputFiles() if "lineitem" in f or "orders" in f]
 
 
+def test_padded_joins_the_sources_once(spark, monkeypatch):
+    """Batches and steps come from the same written records and observations."""
+    made, whole = [], catalog.raw_wide
+    monkeypatch.setattr(catalog, "raw_wide", lambda *a, **k: made.append(a) or whole(*a, **k))
+    files = entry_points.queries()["padded"](spark, SF).inputFiles()
+    assert len(made) == 1 and not [f for f in files if "lineitem" in f or "orders" in f]
+
+
 def test_sequence_inputs_are_written(spark):
     """Statistics and histories don't join the sources anew."""
     for df in catalog.sequence_inputs(spark, SF):
