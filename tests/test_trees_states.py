@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from fieldpanel.ml import importance, kernels, models, recurrent
+from fieldpanel.ml import deep_forest, importance, kernels, models, recurrent, stored_forest
 from fieldpanel.ml import boosting as boosting_module
 from fieldpanel.ml.boosting import BoostedTrees
 from fieldpanel.ml.deep_forest import DeepForest
@@ -19,6 +19,8 @@ from fieldpanel.operators.importance import early_stop
 from fieldpanel.sources import sequence_store
 from fieldpanel.sources.io import materialise
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def frame(spark, x, y, w=None, sites=10):
     w = np.ones(len(y)) if w is None else w
@@ -204,6 +206,38 @@ def test_deep_forest_draws_rows_and_features(spark, points):
         DeepForest(2).fit(df.limit(0))
 
 
+def test_stored_forest_predicts_as_spark(spark, points, monkeypatch, tmp_path):
+    """A forest that the driver doesn't hold: same values, parameters and importances; also for rows it was not fitted on."""
+    x, y, w = (np.copy(v) for v in points)
+    x[:200] = [1.0, 2.0, 3.0, 4.0]
+    df, estimator = frame(spark, x, y, w), DeepForest(3, max_features=2, local_rows=40)
+    plain = estimator.fit(df)
+    monkeypatch.setattr(stored_forest, "DRIVER_NODES", 100)
+    monkeypatch.setattr(stored_forest.StoredForest, "_whole", property(lambda self: pytest.fail("the trees were loaded")))
+    model = estimator.fit(df)
+    assert isinstance(model, stored_forest.StoredForest) and model.getNumTrees == 3 and model.totalNumNodes == plain.totalNumNodes
+    ours, theirs = ({p.name: v for p, v in m.extractParamMap().items()} for m in (model, plain))
+    assert ours == theirs and ours["numTrees"] == 3
+    assert model.featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray())
+    rng = np.random.default_rng(5)
+    other = frame(spark, rng.permuted(x, axis=0)[:300], y[:300], w[:300])
+    model.write().save(str(tmp_path / "forest"))
+    for made in (model, stored_forest.StoredForest.load(str(tmp_path / "forest"))):
+        for rows in (df, other.unionByName(other), df.limit(0)):
+            want, got = plain.transform(rows), made.transform(rows)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["forest_exact"])
+def test_exact_forests_stay_in_tables(spark, name, monkeypatch):
+    """The queries' rows don't depend on whether the driver holds the forest; with a bound of few nodes it doesn't."""
+    query, loaded = entry_points.queries()[name], []
+    want = sorted(map(str, query(spark, SMALL).collect()))
+    monkeypatch.setattr(stored_forest, "DRIVER_NODES", 100)
+    monkeypatch.setattr(deep_forest, "assemble", lambda *a: loaded.append(a))
+    assert sorted(map(str, query(spark, SMALL).collect())) == want and not loaded
+
+
 # --- contributions ---
 
 
