@@ -228,7 +228,7 @@ def test_stored_forest_predicts_as_spark(spark, points, monkeypatch, tmp_path):
             assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["forest_exact", "weighted_accuracy"])
+@pytest.mark.parametrize("name", ["forest_exact", "weighted_accuracy", "feature_names"])
 def test_exact_forests_stay_in_tables(spark, name, monkeypatch):
     """The queries' rows don't depend on whether the driver holds the forest; with a bound of few nodes it doesn't."""
     query, loaded = entry_points.queries()[name], []
